@@ -106,7 +106,7 @@ def words(units: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Runs of ``[^\\x20\\x09-\\x0D]`` in bytes or code points: starts, ends and the number of the text each is in."""
     space = _SPACE[units] if units.dtype == np.uint8 else _SPACE[np.minimum(units, 255)]
     edge = np.ones(len(units) + 1, bool)  # whether a word that is here starts here
-    edge[1:] = np.append(space, True)
+    edge[1:] = space
     edge[offsets] = True
     start = np.flatnonzero(~space & edge[:-1])
     stop = np.zeros(len(units) + 1, bool)
