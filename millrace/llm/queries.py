@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import packing, simhash, token_codec, token_file, winnow
+from millrace.llm import packing, quality_rules, simhash, token_codec, token_file, url_filter, winnow
 from millrace.llm._spark import shared_path, table
 
 
@@ -21,6 +21,14 @@ def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.digests(spark, path)
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_edited(table(spark, sf_dir, "documents"))
 
@@ -38,4 +46,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_filter": url_filter.SQL}
