@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import packing, quality_rules, simhash, token_codec, token_file, url_filter, winnow
-from millrace.llm._spark import shared_path, table
+from millrace.llm import language_id, packing, quality_classifier, quality_rules, simhash, token_codec, token_file, url_filter, winnow
+from millrace.llm._spark import id_mod, shared_path, table
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_classifier.train(docs, labels, id_mod("doc_id", 4) != 2)
+    scored = quality_classifier.score(docs, model)
+    return scored.select("doc_id", (id_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= quality_classifier.KEEP_FROM).cast("int").alias("predicted"))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +41,12 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = language_id.train(docs, id_mod("doc_id", 4) != 2)
+    return language_id.identify(docs, field).select("doc_id", (id_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
