@@ -1,20 +1,42 @@
-"""A corpus pipeline from raw documents to packed sequences."""
+"""A corpus pipeline from raw documents to packed sequences: STAGES in turn, each on all that the one before it kept."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import packing
-from millrace.llm._spark import shared_path
+from millrace.llm import language_id, packing, quality_classifier, simhash
+from millrace.llm._spark import BATCH_ROWS, id_mod, shared_path
 
 
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without letters or without a clear language; learns from lang of the documents not held out."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return language_id.keep_identified(docs, language_id.train(docs, id_mod("doc_id", 4) != 2))
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality classifier scores below its threshold; learns from labels not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_classifier.keep_good(docs, quality_classifier.train(docs, labels, id_mod("doc_id", 4) != 2))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates."""
+    return simhash.keep_one(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of at most 4096 tokens."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
-STAGES = [("best_fit_packing", best_fit_packing)]
+STAGES = [
+    ("language_id", identify_language),
+    ("quality_classifier", classify_quality),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("best_fit_packing", pack_sequences),
+]
 ORACLE_SQL = None
 
 
