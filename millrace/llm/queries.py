@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language_id, packing, quality_classifier, quality_rules, simhash, token_codec, token_file, url_filter, winnow
+from millrace.llm import language_id, ngram_lm, packing, quality_classifier, quality_rules, simhash, token_codec, token_file, url_filter, winnow
 from millrace.llm._spark import id_mod, shared_path, table
 
 
@@ -29,6 +29,11 @@ def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.digests(spark, path)
 
 
+def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ngram_lm.score(table(spark, sf_dir, "documents"), id_mod("doc_id", 7) != 2)
+    return scored.withColumn("held_out", id_mod("doc_id", 7) == 2).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
