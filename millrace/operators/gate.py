@@ -84,9 +84,9 @@ def verify(runs: DataFrame, tasks: DataFrame) -> DataFrame:
     base = base.select("*", F.explode("turns").alias("p")).withColumn("cited", cited_texts(t["evidence"], F.col("p.cite")))
     answer, cite = F.col("p.answer"), F.col("p.cite")
     held = (F.size(cite) > 0) & (F.size(F.array_except(cite, F.col("seen"))) == 0)
-    why_url = urls.support(answer, F.col("cited"), F.coalesce(t["prompt_variant"], F.lit("pick")))
-    echo = url & urls.is_correct(answer, F.coalesce(t["broken"], F.lit("")))
-    conflict = ~url & support_conflict(F.coalesce(t["hypothesis"], F.lit("")), F.col("cited"), answer)
+    why_url = F.when(url, urls.support(answer, F.col("cited"), F.coalesce(t["prompt_variant"], F.lit("pick"))))
+    echo = F.when(url, urls.is_correct(answer, F.coalesce(t["broken"], F.lit("")))).otherwise(False)
+    conflict = F.when(~url, support_conflict(F.coalesce(t["hypothesis"], F.lit("")), F.col("cited"), answer)).otherwise(False)
     leak = F.when(url, urls.is_correct(t["gold_url"], F.coalesce(t["broken"], F.lit("")))).otherwise(label_leak(t["hypothesis"], t["evidence"], t["label"]))
     right = F.when(url, urls.is_correct(answer, F.coalesce(t["gold_url"], F.lit("")))).otherwise(F.coalesce(answer == t["label"], F.lit(False)))
     for name, made in (("_why_url", why_url), ("_conflict", conflict), ("_echo", echo)):

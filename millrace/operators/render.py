@@ -18,7 +18,7 @@ SYSTEM_PROMPTS = {
 }
 TOOL_SCHEMA = '{"description":"Reveal one numbered item.","name":"lookup","parameters":{"properties":{"index":{"minimum":0,"type":"integer"}},"required":["index"],"type":"object"}}'
 #: Line breaks as Python's splitlines knows them.
-LINE_END = "(?<=[\n\x0b\x0c\x1c\x1d\x1e\x85  ])|(?<=\r)(?!\n)"
+LINE_END = r"(?<=[\n\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029])|(?<=\r)(?!\n)"
 
 
 def _kind(kind: Column) -> Column:
