@@ -11,15 +11,22 @@ from millrace.llm._spark import cut
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for every node of edges (a, b); nodes without an edge are absent.
 
-    In each round every node takes its smallest neighbour or itself as its label, and edges are drawn between labels
-    instead; chains of labels only go down, so each round at least halves the nodes that still have an edge. Nulls in
-    edges are dropped; loops and repeated edges do no harm.
+    In each round every node takes its smallest neighbour or itself as its label; labels of labels are followed, each
+    step twice as far, until they end at a node that is its own; and edges are drawn between those ends instead. Every
+    node that still has an edge thus joins another, so a round at least halves them, and a path of any length takes a
+    logarithm of rounds. Nulls in edges are dropped; loops and repeated edges do no harm.
     """
     edges = cut(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct())
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
     while not edges.isEmpty():
         both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.least("a", "b").alias("y")), F.struct(F.col("b").alias("x"), F.least("a", "b").alias("y")))).alias("e"))
         labels = cut(both.groupBy(F.col("e.x").alias("x")).agg(F.min("e.y").alias("label")))
+        while True:
+            ends = labels.select(F.col("x").alias("label"), F.col("label").alias("next"))
+            further = cut(labels.join(ends, "label", "left").select("x", F.coalesce("next", "label").alias("label"), (F.col("next") < F.col("label")).alias("moved")))
+            labels = further.select("x", "label")
+            if further.where("moved").isEmpty():
+                break
         nodes = cut(nodes.join(labels, F.col("component") == F.col("x"), "left").select("node", F.coalesce("label", "component").alias("component")))
         left = labels.select(F.col("x").alias("a"), F.col("label").alias("la"))
         right = labels.select(F.col("x").alias("b"), F.col("label").alias("lb"))
