@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from millrace.llm._text import chunks
 from millrace.llm.bpe import encoder
@@ -30,7 +31,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", id_column: str
 def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
     """The rows with a column ``decoded`` for their ids (null ids: an empty text). A column of that name is replaced."""
     tokens = tokens.drop("decoded")
-    schema = tokens.schema
+    schema = StructType([*tokens.schema.fields, StructField("decoded", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
@@ -38,7 +39,7 @@ def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
             made = pa.array([bpe.decode(x or []) for x in b.column(ids).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, made], [*b.schema.names, "decoded"])
 
-    return tokens.mapInArrow(run, schema.add("decoded", "string"))
+    return tokens.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
