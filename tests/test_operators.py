@@ -125,13 +125,13 @@ def test_tokenizer(spark):
     ids = {r.token: r.id for r in vocab.collect()}
     assert ids["<|pad|>"] == 0 and ids["("] == 3 and ids[")"] == 4 and ids["lookup"] == 5
     enc = {r.k: r.ids for r in tokenizer.encode(texts, vocab, "k").collect()}
-    assert len(enc[1]) == 11 and enc[2] == [] and enc[3] == []
+    assert len(enc[1]) == 12 and enc[2] == [] and enc[3] == []
     back = texts.where("k = 1").select(tokenizer.decode(tokenizer.tokens(F.col("text")))).first()[0]
     assert back == "lookup(0) it's fine.\nlookup(1)"
     assert vocab.count() == len(set(ids.values()))
     assert tokenizer.build(texts, max_vocab=3).count() == 3
     b = tokenizer.batches(tokenizer.encode(texts, vocab, "k"), "k", 2).orderBy("k").collect()
-    assert [(r.batch, r.width) for r in b] == [(0, 11), (0, 11), (1, 0)]
+    assert [(r.batch, r.width) for r in b] == [(0, 12), (0, 12), (1, 0)]
 
 
 def test_training_figures(spark):
