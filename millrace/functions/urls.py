@@ -64,51 +64,59 @@ def _rebuilt(p: Column, whole: bool) -> Column:
     return F.concat(location, F.when(p["query"] == "", "").otherwise(F.concat(F.lit("?"), p["query"])), F.when(p["fragment"] == "", "").otherwise(F.concat(F.lit("#"), p["fragment"])))
 
 
-def _canonical(url: Column, whole: bool) -> Column:
-    blank = F.coalesce(strip(url) == "", F.lit(True))
-    return F.when(blank, "").otherwise(let(parts(url), lambda p: F.when(p["valid"], _rebuilt(p, whole)).otherwise(F.lower(strip(unquote(p["bare"]))))))
+def forms(url: Column) -> Column:
+    """A struct of location (scheme, host and path), whole and query of the canonical form; all empty for an empty URL."""
+
+    def made(p: Column) -> Column:
+        loose = F.lower(strip(unquote(p["bare"])))
+        return F.struct(F.when(p["valid"], _rebuilt(p, False)).otherwise(loose).alias("location"), F.when(p["valid"], _rebuilt(p, True)).otherwise(loose).alias("whole"), F.coalesce(p["query"], F.lit("")).alias("query"))
+
+    empty = F.struct(F.lit("").alias("location"), F.lit("").alias("whole"), F.lit("").alias("query"))
+    return F.when(F.coalesce(strip(url) == "", F.lit(True)), empty).otherwise(let(parts(url), made))
 
 
 def normalize(url: Column) -> Column:
     """The canonical form: folds case of scheme and host, the default port, encoding and the order of parameters only."""
-    return _canonical(url, True)
+    return forms(url)["whole"]
 
 
 def location_of(url: Column) -> Column:
     """Scheme, host and path of the canonical form."""
-    return _canonical(url, False)
+    return forms(url)["location"]
 
 
 def query_of(url: Column) -> Column:
-    return F.coalesce(parts(url)["query"], F.lit(""))
+    return forms(url)["query"]
 
 
 def is_correct(predicted: Column, gold: Column) -> Column:
     """Equal in canonical form; an empty prediction never is. With the damaged URL as gold: an echo."""
-    return F.coalesce(predicted != "", F.lit(False)) & (normalize(predicted) == normalize(gold))
+    return F.coalesce(predicted != "", F.lit(False)) & let(F.transform(F.array(predicted, gold), forms), lambda f: f[0]["whole"] == f[1]["whole"])
 
 
-def support(predicted: Column, cited: Column, variant: Column) -> Column:
-    """Why the cited URLs support an answer (``supported``) or don't."""
-    forms = lambda u: F.struct(location_of(u).alias("location"), normalize(u).alias("whole"), query_of(u).alias("query"))
+def support_of(predicted: Column, own: Column, others: Column, variant: Column) -> Column:
+    """Why cited URLs support an answer (``supported``) or don't, from the forms of both."""
+    has = lambda k: F.exists(others, lambda o: o[k] == own[k])
+    return (
+        F.when(F.coalesce(predicted == "", F.lit(True)), "no_answer")
+        .when(F.coalesce(F.size(others) < 1, F.lit(True)), "nothing_cited")
+        .when(own["location"] == "", "unparseable_answer")
+        .when(~has("location"), "location_not_cited")
+        .when(variant.isin("pick", "pick_hard") & ~has("whole"), "answer_not_a_cited_candidate")
+        .when((variant == "compose") & (own["query"] != "") & ~has("query"), "query_not_cited")
+        .otherwise("supported")
+    )
 
-    def judged(own: Column, others: Column) -> Column:
-        has = lambda k: F.exists(others, lambda o: o[k] == own[k])
-        return (
-            F.when(own["location"] == "", "unparseable_answer")
-            .when(~has("location"), "location_not_cited")
-            .when(variant.isin("pick", "pick_hard") & ~has("whole"), "answer_not_a_cited_candidate")
-            .when((variant == "compose") & (own["query"] != "") & ~has("query"), "query_not_cited")
-            .otherwise("supported")
-        )
 
-    reason = let(forms(predicted), lambda own: let(F.transform(cited, forms), lambda others: judged(own, others)))
-    return F.when(F.coalesce(predicted == "", F.lit(True)), "no_answer").when(F.coalesce(F.size(cited) < 1, F.lit(True)), "nothing_cited").otherwise(reason)
+def support(predicted: Column, cited: Column, variant: Column) -> Column:
+    """Why the cited URLs support an answer (``supported``) or don't."""
+    every = F.transform(F.concat(F.array(predicted), F.coalesce(cited, F.array().cast("array<string>"))), forms)
+    return let(every, lambda f: support_of(predicted, F.get(f, 0), F.slice(f, F.lit(2), F.greatest(F.size(f), F.lit(1))), variant))
 
 
 def compose(base: Column, donor: Column) -> Column:
     """The location of one URL with the query of another."""
-    return F.concat(location_of(base), F.lit("?"), F.when(query_of(donor) == "", "ref=combined").otherwise(query_of(donor)))
+    return F.concat(location_of(base), F.lit("?"), let(query_of(donor), lambda q: F.when(q == "", "ref=combined").otherwise(q)))
 
 
 def relevance(damaged: Column, candidate: Column) -> Column:

@@ -84,11 +84,17 @@ def verify(runs: DataFrame, tasks: DataFrame) -> DataFrame:
     base = base.select("*", F.explode("turns").alias("p")).withColumn("cited", cited_texts(t["evidence"], F.col("p.cite")))
     answer, cite = F.col("p.answer"), F.col("p.cite")
     held = (F.size(cite) > 0) & (F.size(F.array_except(cite, F.col("seen"))) == 0)
-    why_url = F.when(url, urls.support(answer, F.col("cited"), F.coalesce(t["prompt_variant"], F.lit("pick"))))
-    echo = F.when(url, urls.is_correct(answer, F.coalesce(t["broken"], F.lit("")))).otherwise(False)
+    # canonical forms of the answer, the gold and the damaged URL, then of what was cited
+    asked = F.array(*[F.coalesce(x, F.lit("")) for x in (answer, t["gold_url"], t["broken"])])
+    base = base.withColumn("_f", F.when(url, F.transform(F.concat(asked, F.coalesce("cited", F.array().cast("array<string>"))), urls.forms)))
+    own, gold, broken = (F.get("_f", i) for i in range(3))
+    others = F.slice("_f", F.lit(4), F.greatest(F.size("_f"), F.lit(1)))
+    answered = F.coalesce(answer != "", F.lit(False))
+    why_url = F.when(url, urls.support_of(answer, own, others, F.coalesce(t["prompt_variant"], F.lit("pick"))))
+    echo = F.when(url, answered & (own["whole"] == broken["whole"])).otherwise(False)
     conflict = F.when(~url, support_conflict(F.coalesce(t["hypothesis"], F.lit("")), F.col("cited"), answer)).otherwise(False)
-    leak = F.when(url, urls.is_correct(t["gold_url"], F.coalesce(t["broken"], F.lit("")))).otherwise(label_leak(t["hypothesis"], t["evidence"], t["label"]))
-    right = F.when(url, urls.is_correct(answer, F.coalesce(t["gold_url"], F.lit("")))).otherwise(F.coalesce(answer == t["label"], F.lit(False)))
+    leak = F.when(url, F.coalesce(t["gold_url"] != "", F.lit(False)) & (gold["whole"] == broken["whole"])).otherwise(label_leak(t["hypothesis"], t["evidence"], t["label"]))
+    right = F.when(url, answered & (own["whole"] == gold["whole"])).otherwise(F.coalesce(answer == t["label"], F.lit(False)))
     for name, made in (("_why_url", why_url), ("_conflict", conflict), ("_echo", echo)):
         base = base.withColumn(name, made)
     why_url, conflict, echo = F.col("_why_url"), F.col("_conflict"), F.col("_echo")
