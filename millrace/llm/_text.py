@@ -31,7 +31,7 @@ def _power(base: int, n: int) -> np.ndarray:
     """base ** 0..n-1 modulo 2**64, kept for later calls."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        step = np.full(max(n, CHUNK_CHARS * 2), base, np.uint64)
+        step = np.full(max(n, 2 * (len(have) if have is not None else 0), 1 << 16), base, np.uint64)
         step[0] = 1
         have = _powers[base] = np.cumprod(step)
     return have[:n]
