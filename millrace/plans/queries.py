@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import claims, text, urls
@@ -126,9 +126,9 @@ def hack_rate(spark, d):
     return gate.hack_rate(_verdicts(spark, d))
 
 
-@query(f"WITH {_TASKS} SELECT task_id, doc_id, {_split('task_id')} AS split, label, prompt_variant, hypothesis, len(units)::BIGINT AS n_units FROM tasks WHERE doc_id % 31 <> 0")
+@query(f"WITH {_TASKS} SELECT task_id, doc_id, unnest(CASE WHEN doc_id % 31 = 0 THEN ['train', 'eval'] ELSE [{_split('task_id')}] END) AS split, label, prompt_variant, hypothesis, len(units)::BIGINT AS n_units FROM tasks")
 def task_manifest(spark, d):
-    return adapters.tasks(spark, d).where("doc_id % 31 <> 0").select("task_id", "doc_id", "split", "label", "prompt_variant", "hypothesis", F.col("n_units").cast("long").alias("n_units"))
+    return adapters.tasks(spark, d).select("task_id", "doc_id", "split", "label", "prompt_variant", "hypothesis", F.col("n_units").cast("long").alias("n_units"))
 
 
 @query(f"WITH {_TASKS} SELECT task_id FROM tasks WHERE doc_id % 31 = 0")
@@ -257,10 +257,6 @@ def curriculum_stage_one(spark, d):
     return dataset.stage_one(n, 0.4).select("conv_id", "n_steps")
 
 
-_F = "{fact}"
-_FACT = "regexp_replace(units[1], '^\\s+', '')"
-
-
 @query(f"""WITH {_UNITS}, f AS (SELECT doc_id, units[1] AS fact, units[len(units)] AS other FROM units)
 SELECT doc_id, 'It is not the case that ' || {_lower_first('fact')} AS negation, 'Indian courts have held that ' || {_lower_first('fact')} AS scope_overreach, fact || ' In addition, ' || {_lower_first('other')} AS conjunction, fact || ' It is not the case that ' || {_lower_first('other')} AS broken_conjunction FROM f""")
 def claim_transforms(spark, d):
@@ -288,13 +284,11 @@ def rank_evidence(spark, d):
     return r.select("doc_id", F.array_join("ranked", "|").alias("ranked"), (F.array_position("ranked", F.col("fact")) - 1).alias("gold_position"))
 
 
-@query(f"""WITH articles AS (SELECT source AS article_id, list(text ORDER BY doc_id)[1:40] AS facts FROM documents GROUP BY source), f AS (SELECT article_id, unnest(range(len(facts))) AS i FROM articles WHERE len(facts) >= 4),
+@query(f"""WITH {_UNITS}, f AS (SELECT doc_id::VARCHAR AS article_id, unnest(range(len(units))) AS i FROM units WHERE len(units) >= 4),
 s AS (SELECT *, {_seed("'[\"s\",\"' || article_id || '\",' || i || ',\"pos\"]'")} % 1000 < 500 AS holds FROM f)
 SELECT CASE WHEN holds THEN (['identity', 'restate', 'conjunction'])[(i % 3) + 1] ELSE (['negation', 'entity_swap', 'scope_overreach', 'broken_conjunction'])[(i % 4) + 1] END AS variant, count(*) AS n FROM s GROUP BY ALL""")
 def schedule_balance(spark, d):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    few = table(spark, d, "documents").select("source", "doc_id", F.row_number().over(w).alias("n")).where("n <= 40")  # articles of forty facts
-    articles = few.groupBy(F.col("source").alias("article_id")).agg(F.collect_list(F.col("doc_id").cast("string")).alias("facts"))
+    articles = adapters.document_units(spark, d).select(F.col("doc_id").cast("string").alias("article_id"), F.col("units").alias("facts"))
     return taskpool.claim_schedule(articles, "s").groupBy("variant").agg(F.count("*").alias("n"))
 
 
