@@ -126,6 +126,12 @@ def parse_turn(text: Column, freeform: Column | bool = False) -> Column:
     return let(kept, lambda t: let(found(t), lambda r: let(judged(r), turn)))
 
 
+def turn_complete(text: Column) -> Column:
+    """Whether a turn can end here: it calls a tool, or has both its CITE and its ANSWER line with a label."""
+    answered = text.rlike(r"(?dim)^\s*ANSWER\s*:\s*(not_)?entailed\b") & text.rlike(CITE_LINE)
+    return F.coalesce(text.rlike(LOOKUP) | answered, F.lit(False))
+
+
 def format_answer(label: Column, cite: Column) -> Column:
     return F.concat(F.lit("CITE: "), F.array_join(cite.cast("array<string>"), ", "), F.lit("\nANSWER: "), label)
 

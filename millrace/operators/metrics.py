@@ -43,6 +43,11 @@ def frontier(summaries: DataFrame) -> DataFrame:
     return summaries.join(F.broadcast(order), "contender").select("pos", "contender", "n", "pass_at_1", "valid_tool_call_rate", "cost_per_resolved_task_usd", "latency_p50_s", "latency_p95_s", "mean_steps").orderBy("pos")
 
 
+def params_label(kind, params):
+    """How a contender's size is shown, of its kind and non-embedding parameters."""
+    return F.when(kind == "local", F.concat(F.format_number(params / 1e6, 2), F.lit("M non-emb"))).when(kind == "api", "API").otherwise("—")
+
+
 def ablation(summaries: DataFrame, a: str = "student", b: str = "student_no_curriculum") -> DataFrame:
     """How two contenders differ."""
     pick = lambda name, tag: summaries.where(F.col("contender") == name).select(*[F.col(c).alias(f"{c}_{tag}") for c in ("pass_at_1", "valid_tool_call_rate")])

@@ -27,8 +27,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def broken_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The lines that read_jsonl leaves out."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    return rows.where("_corrupt_record is not null").select("_corrupt_record")
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"})
+    return lines.select("value", parsed.alias("r")).where("r._corrupt_record is not null").select("value")
 
 
 def append_jsonl(rows: DataFrame, path: str) -> None:
@@ -69,6 +70,21 @@ def read_json(path: str, default=None):
         return default
 
 
+def read_through(spark: SparkSession, cache: str, schema: str, loaders: list) -> DataFrame:
+    """Rows kept at ``cache``; if there are none, those of the first loader that works, which are kept there."""
+    kept = read_jsonl(spark, cache, schema)
+    if not kept.isEmpty():
+        return kept
+    failures = []
+    for load in loaders:
+        try:
+            load(spark).write.mode("overwrite").json(cache)
+            return read_jsonl(spark, cache, schema)
+        except (OSError, AnalysisException) as e:
+            failures.append(f"{type(e).__name__}: {str(e)[:200]}")
+    raise RuntimeError(f"no source of rows worked: {'; '.join(failures)}")
+
+
 def count_lines(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).count()
 

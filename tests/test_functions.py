@@ -133,3 +133,8 @@ def test_claims(spark):
 
 def test_completion_is_cleaned(spark):
     assert one(spark, text.clean_completion(F.col("s")), s="<think>a\nb</think>assistant:\nhello <think>x") == "hello"
+
+
+@pytest.mark.parametrize("turn, done", [("lookup(1)", True), ("CITE: 1\nANSWER: entailed", True), ("ANSWER: entailed", False), ("thinking", False), (None, False)])
+def test_turn_complete(spark, turn, done):
+    assert one(spark, text.turn_complete(F.col("s")), s=turn) is done

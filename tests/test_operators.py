@@ -110,13 +110,17 @@ def test_accounts(spark):
     assert ledger.summary(book.limit(0)).first().requests == 0 and ledger.summary(book.limit(0)).first().mean_latency_s is None
 
 
-def test_metrics_and_reports(spark):
+def test_metrics_and_reports(spark, tmp_path):
     rows = [("student", "v", "local", i == 0, True, True, True, "VERIFIED_OK" if i == 0 else "TEST_FAIL", 2, float(i), 0.5, 10) for i in range(4)]
     df = spark.createDataFrame(rows, "contender string, variant string, kind string, passed boolean, label_correct boolean, valid_tool_call boolean, retrieved boolean, reason_code string, steps int, latency_s double, cost_usd double, tokens long")
     s = metrics.summarize(df)
     r = s.first()
     assert (r.pass_at_1, r.latency_p50_s, r.latency_p95_s, r.cost_per_resolved_task_usd, r.compute_seconds) == (0.25, 1.5, 2.85, 2.0, 6.0)
     assert "student" in report.table(metrics.frontier(s)) and "<circle" in report.frontier_svg(metrics.frontier(s))
+    assert spark.range(1).select(metrics.params_label(F.lit("local"), F.lit(921600))).first()[0] == "0.92M non-emb"
+    verdicts = spark.createDataFrame([("a", "v", "VERIFIED_OK", "entailed", "entailed")], "run_id string, variant string, reason_code string, predicted string, gold string")
+    book = spark.createDataFrame([(0.0, "a", "t", "x", "m", 1, 10, 5, 15, 0.1, 2.0, None)], schemas.LEDGER)
+    assert report.write_all(str(tmp_path / "r"), df, verdicts, book) == sorted(p.name for p in (tmp_path / "r").iterdir())
 
 
 def test_tokenizer(spark):
@@ -183,6 +187,17 @@ def test_records(spark, tmp_path):
     assert [r.facts for r in records.read_articles(spark, str(tmp_path / "articles.json")).collect()] == [["a", "b"]]
 
 
+def test_read_through(spark, tmp_path):
+    def fails(s):
+        raise OSError("no")
+
+    cache = str(tmp_path / "cache")
+    with pytest.raises(RuntimeError, match="no source"):
+        records.read_through(spark, cache, "v int", [fails])
+    assert records.read_through(spark, cache, "v int", [fails, lambda s: s.createDataFrame([(1,)], "v int")]).count() == 1
+    assert records.read_through(spark, cache, "v int", [fails]).count() == 1
+
+
 def test_stream_takes_each_record_once(spark, tmp_path):
     source, out, state = tmp_path / "in", tmp_path / "out", tmp_path / "state"
     source.mkdir()
