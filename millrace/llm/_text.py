@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Characters that are worked on at once. A longer text makes a chunk of its own: texts are never cut.
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 800_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95

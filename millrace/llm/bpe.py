@@ -22,7 +22,7 @@ from millrace.llm._text import SpanHash, code_points, ragged
 #: Words of more characters go to the tokenizers library.
 LONGEST = 2000
 #: Distinct fragments whose ids a worker keeps for later chunks; after that many it starts anew.
-KEPT = 500_000
+KEPT = 300_000
 _NONE = np.int32(2**31 - 1)
 _TOP = 0x250
 
