@@ -205,8 +205,14 @@ CORRUPTIONS: dict[str, tuple[Callable[[Column, Column], Column], int]] = {
     "truncate_tail": (lambda u, s: F.when(F.contains(u, F.lit("?")), F.substring_index(u, "?", 1)).otherwise(F.substring_index(u, "#", 1)), 2),
     "lose_fragment": (_cut_fragment, 2),
 }
-#: Damages after which the query can still be read.
-QUERY_PRESERVING = ("drop_scheme", "drop_www", "sentence_punctuation", "markdown_wrapper", "http_typo", "uppercase_host", "reorder_query", "drop_port", "double_encode")
+# Damages after which the query can still be read.
+QUERY_PRESERVING = ("drop_scheme", "drop_www", "sentence_punctuation", "markdown_wrapper", "whitespace", "newlines", "http_typo", "uppercase_host", "double_slash", "reorder_query", "drop_fragment", "fragment_moved", "double_encode", "html_entities", "lose_fragment")
+
+
+def difficulty(kinds: Column) -> Column:
+    """Of a list of damages: that of the hardest."""
+    table = F.create_map(*[F.lit(x) for name, (_, hard) in CORRUPTIONS.items() for x in (name, hard)])
+    return F.array_max(F.transform(kinds, lambda k: table[k]))
 
 
 def sample_kinds(seed: Column, names: tuple[str, ...], most: int = 3) -> Column:

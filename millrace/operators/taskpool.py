@@ -151,7 +151,7 @@ def url_tasks(spark, n: int, salt: str, variant: str = "pick", eval_pct: int = 2
     order = F.array_sort(F.transform("candidates", lambda c: F.struct((-urls.relevance(F.col("broken"), c)).alias("o"), c.alias("c"))))
     listed = first.withColumn("evidence", evidence(F.transform(order, lambda x: x["c"])))
     named = listed.withColumn("task_id", content_id(canonical_json(kind=F.lit("url"), broken=F.col("broken"), gold_url=F.col("gold_url"), evidence=F.col("evidence"))))
-    return named.select("task_id", F.lit("url").alias("kind"), F.lit("url").alias("origin"), split_of(F.col("task_id"), salt, eval_pct).alias("split"), F.lit(variant).alias("prompt_variant"), F.col("id").cast("string").alias("source_id"), F.col("broken").alias("hypothesis"), "broken", "gold_url", F.col("gold_url").alias("label"), "corruptions", F.size("evidence").alias("n_units"), "evidence")
+    return named.select("task_id", F.lit("url").alias("kind"), F.lit("url").alias("origin"), split_of(F.col("task_id"), salt, eval_pct).alias("split"), F.lit(variant).alias("prompt_variant"), F.col("id").cast("string").alias("source_id"), F.col("broken").alias("hypothesis"), "broken", "gold_url", F.col("gold_url").alias("label"), "corruptions", urls.difficulty(F.col("corruptions")).alias("difficulty"), F.size("evidence").alias("n_units"), "evidence")
 
 
 def manifest_summary(tasks: DataFrame) -> DataFrame:
