@@ -118,7 +118,7 @@ def statistics(docs: DataFrame, shards: int) -> tuple[int, int]:
         def out() -> pa.RecordBatch:
             keys = np.unique(np.concatenate(held))
             at = np.concatenate([[0], np.searchsorted(keys, borders), [len(keys)]])
-            full = [i for i in range(shards) if at[i] < at[i + 1]]
+            full = np.flatnonzero(np.diff(at)).tolist()
             blobs = [pack_sorted(keys[at[i] : at[i + 1]]) for i in full]
             return pa.RecordBatch.from_pydict({"shard": pa.array(full, pa.int32()), "keys": pa.array(blobs, pa.binary()), "n": pa.array([total if k == 0 else 0 for k in range(len(full))], pa.int64())})
 
@@ -186,12 +186,11 @@ def score(docs: DataFrame, learn: Column, share: float = SHARE) -> DataFrame:
             u, inverse = np.unique(keys, return_inverse=True)
             counts = np.bincount(inverse, weights=learned, minlength=len(u)).astype(np.int64)
             at = np.concatenate([[0], np.searchsorted(u, borders), [len(u)]])
-            for i in range(shards):
+            for i in np.flatnonzero(np.diff(at)).tolist():  # most shards have nothing of a block when there are many
                 a, b = int(at[i]), int(at[i + 1])
-                if a < b:
-                    rows["shard"].append(base + i)
-                    rows["keys"].append(pack_sorted(u[a:b]))
-                    rows["counts"].append(pack_counts(counts[a:b]))
+                rows["shard"].append(base + i)
+                rows["keys"].append(pack_sorted(u[a:b]))
+                rows["counts"].append(pack_counts(counts[a:b]))
         rows["block"] = [table.column("block")[0].as_py()] * len(rows["shard"])
         return pa.table(rows, pa.schema({"shard": pa.int32(), "block": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}))
 
