@@ -42,7 +42,8 @@ class EliasFano:
         top = begin + low + 8
         self.end = top + (bits + 7) // 8
         unary = np.unpackbits(data[top : self.end], bitorder="little", count=bits)
-        self.zeros = np.flatnonzero(unary == 0)
+        zeros = np.flatnonzero(unary == 0)
+        self.starts = np.append(0, zeros - np.arange(len(zeros)))  # how many values have a smaller high part
         self.high = np.flatnonzero(unary) - np.arange(self.n)
 
     def __len__(self) -> int:
@@ -56,18 +57,21 @@ class EliasFano:
         return out
 
     def successor(self, x: np.ndarray) -> np.ndarray:
-        """The place of the first value that is not below x (the length if there is none)."""
+        """The place of the first value that is not below x (the length if there is none).
+
+        Values that share x's high part are halved, not read one by one: a frequent context has many of them.
+        """
         x = x.astype(np.uint64)
-        h = np.minimum((x >> np.uint64(self.width)).astype(np.int64), len(self.zeros))
-        i = np.zeros(len(x), np.int64)
-        later = np.flatnonzero(h > 0)
-        i[later] = self.zeros[h[later] - 1] - h[later] + 1
-        on = np.flatnonzero(i < self.n)
+        h = np.minimum((x >> np.uint64(self.width)).astype(np.int64), len(self.starts) - 1)
+        low, high = self.starts[h], self.starts[np.minimum(h + 1, len(self.starts) - 1)]
+        on = np.flatnonzero(low < high)
         while len(on):
-            on = on[self[i[on]] < x[on]]
-            i[on] += 1
-            on = on[i[on] < self.n]
-        return i
+            mid = (low[on] + high[on]) >> 1
+            less = self[mid] < x[on]
+            low[on[less]] = mid[less] + 1
+            high[on[~less]] = mid[~less]
+            on = on[low[on] < high[on]]
+        return low
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """The place of x, -1 where it is not in the sequence."""
