@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from millrace import schemas
-from millrace.operators import contenders, dataset, gate, ledger, metrics, report, taskpool
+from millrace.operators import contenders, dataset, farm, gate, ledger, metrics, report, taskpool
 from millrace.sources.records import Config, iter_tasks, write_manifest
 
 
@@ -39,8 +39,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
     elif a.command == "farm":
         chosen = tasks().orderBy("task_id").limit(a.limit) if a.limit else tasks()
         kinds = [r[0] for r in chosen.select("kind").distinct().collect()]
-        runner = contenders.teacher(a.teacher, "url_repair" if kinds == ["url"] else "heuristic")
-        runner(chosen, config.samples_per_task).write.mode("overwrite").parquet(at("runs"))
+        name = a.teacher if a.teacher != "auto" else "url_repair" if kinds == ["url"] else "heuristic"
+        made, caps = contenders.teacher(name)(chosen, config.samples_per_task), config.caps
+        farm.capped(made, contenders.TURN_TOKENS[name], caps.max_steps, caps.max_requests, caps.max_tokens).write.mode("overwrite").parquet(at("runs"))
         runs = spark.read.parquet(at("runs"))
         rows = runs.select(F.lit(0.0).alias("ts"), "run_id", "task_id", "teacher", "model", F.lit(1).alias("attempt"), F.col("tokens.prompt").alias("prompt_tokens"), F.col("tokens.completion").alias("completion_tokens"), "cost_usd", F.col("wall_s").alias("latency_s"), F.lit(None).cast("string").alias("error"))
         ledger.record(rows).write.mode("overwrite").parquet(at("ledger"))

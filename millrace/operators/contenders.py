@@ -47,6 +47,10 @@ def url_repair_runs(tasks: DataFrame, samples: int = 1, echo_pct: int = 0, ungro
 TEACHERS: dict[str, Runner] = {"heuristic": farm.heuristic_runs, "majority": farm.heuristic_runs, "url_repair": url_repair_runs}
 
 
+#: Tokens that a teacher's lookup turn takes.
+TURN_TOKENS = {"heuristic": 12, "majority": 12, "url_repair": 15}
+
+
 def teacher(name: str, prefer: str | None = None) -> Runner:
     """A teacher by name; ``auto`` takes the preferred one if it is known, else the heuristic."""
     if name == "auto":
@@ -57,8 +61,8 @@ def teacher(name: str, prefer: str | None = None) -> Runner:
 
 
 TASK_SOURCES: dict[str, Callable[[SparkSession, Config, str], DataFrame]] = {
-    "url": lambda spark, c, path: taskpool.url_tasks(spark, c.n_tasks, c.seed_salt, eval_pct=c.eval_pct),
-    "legal": lambda spark, c, path: taskpool.claim_tasks(read_articles(spark, path), c.seed_salt, c.eval_pct),
+    "url": lambda spark, c, path: taskpool.url_manifest(spark, c.n_tasks, c.seed_salt, c.synth_fraction, c.eval_pct),
+    "legal": lambda spark, c, path: taskpool.claim_tasks(read_articles(spark, path), c.seed_salt, c.eval_pct, c.n_tasks),
     "nli": lambda spark, c, path: taskpool.nli_manifest(spark.read.schema("source_id long, premise string, hypothesis string, label string").json(path), c.seed_salt, c.n_tasks, c.synth_fraction, c.eval_pct),
 }
 

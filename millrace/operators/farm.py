@@ -85,6 +85,32 @@ def heuristic_runs(tasks: DataFrame, samples: int = 1) -> DataFrame:
     )
 
 
+def capped(runs: DataFrame, turn_tokens: int, max_steps: int = 8, max_requests: int = 8, max_tokens: int = 20_000) -> DataFrame:
+    """Runs as they end under caps, which are tried before each turn: steps, then requests, then tokens.
+
+    A run that needs more turns than a cap leaves keeps the turns before it, has no answer and cites nothing.
+    """
+    left = {"step_cap": max_steps, "request_cap": max_requests, "token_cap": -(-max_tokens // max(turn_tokens, 1))}
+    turns = max(0, min(left.values()))
+    ended = "request_cap" if max_steps > turns and max_requests == turns else "step_cap"
+    starts = F.filter(F.transform("messages", lambda m, i: F.when(m["role"] == "assistant", i)), lambda i: i.isNotNull())
+    over = F.col("steps") > turns
+    out = runs.withColumn("_over", over).withColumn("messages", F.when(over, F.slice("messages", F.lit(1), F.coalesce(F.get(starts, turns), F.size("messages")))).otherwise(F.col("messages")))
+    asked = F.array_distinct(F.transform(F.filter("messages", lambda m: m["role"] == "tool"), lambda m: m["evidence_index"]))
+    spent = F.lit(turns * turn_tokens).cast("long")
+    changes = {
+        "exit": F.lit(ended),
+        "steps": F.lit(turns),
+        "requests": F.lit(turns),
+        "tokens": F.struct(F.lit(0).cast("long").alias("prompt"), spent.alias("completion"), spent.alias("total")),
+        "answer": F.lit(None).cast("string"),
+        "cite": F.array().cast("array<int>"),
+        "n_lookups": F.size(asked),
+        "trajectory_hash": content_id(F.to_json("messages")),
+    }
+    return out.withColumns({c: F.when(F.col("_over"), v).otherwise(F.col(c)) for c, v in changes.items()}).drop("_over")
+
+
 def opaque_runs(tasks: DataFrame, complete: Callable[[dict], dict], schema: str) -> DataFrame:
     """Rows that a Python teacher makes of each task, in Arrow batches: ``complete`` takes a task and returns a row."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import claims, urls
 from millrace.functions.hashing import canonical_json, content_id, draw, split_of, stable_seed, task_identity, json_string
-from millrace.functions.text import jaccard, negate, split_units, word_set
+from millrace.functions.text import jaccard, let, negate, split_units, word_set
 
 TRAP_UNITS = 3
 LEAST_LIKENESS = 0.15
@@ -72,7 +72,7 @@ def best_match(queries: DataFrame, donors: DataFrame, least: float = LEAST_LIKEN
         order = F.array_sort(F.collect_list(F.struct("often", "w")))
         ranked = spread(df, key).join(often, "w").groupBy(key).agg(order.alias("o"))
         size = F.size("o")
-        keep = size - F.ceil(size * least).cast("int") + 1
+        keep = size - F.ceil(size * least - 1e-9).cast("int") + 1
         return ranked.select(key, F.transform("o", lambda x: x["w"]).alias("all"), F.explode(F.transform(F.slice("o", F.lit(1), keep), lambda x: x["w"])).alias("w"))
 
     a = prefixed(q, "q_id").withColumnRenamed("all", "q_words")
@@ -97,6 +97,7 @@ def nli_manifest(rows: DataFrame, salt: str, n_tasks: int, synth_fraction: float
     n_synth = round(n_tasks * synth_fraction)
     base = good.orderBy("seed").limit(n_tasks - n_synth)  # a sampling operator: its size is the feature
     donors = good.join(base.select("source_id"), "source_id", "left_anti")
+    donors = good if donors.isEmpty() else donors
     trap = draw(F.col("seed"), "trap") % 3
     plain = base.drop("seed").withColumn("prompt_variant", F.lit("base")).withColumn("origin", F.lit("base"))
     pick = lambda k: base.where(trap == k).drop("seed")
@@ -115,9 +116,11 @@ def claim_schedule(articles: DataFrame, salt: str) -> DataFrame:
     return seeded.withColumn("variant", F.when(holds, variant(positive)).otherwise(variant(negative)))
 
 
-def claim_tasks(articles: DataFrame, salt: str, eval_pct: int = 20) -> DataFrame:
-    """Tasks over claims from facts of articles (article_id, facts)."""
+def claim_tasks(articles: DataFrame, salt: str, eval_pct: int = 20, n_tasks: int | None = None) -> DataFrame:
+    """Tasks over claims from facts of articles (article_id, facts): all, or the first ``n_tasks`` by article and fact."""
     rows = claim_schedule(articles, salt)
+    if n_tasks is not None:
+        rows = rows.orderBy("article_id", "index").limit(n_tasks)
     n = F.size("facts")
     other = F.get("facts", F.pmod(F.col("index") + 1 + (draw(F.col("seed"), "other") % (n - 1)).cast("int"), n))
     claim = label = F.lit(None).cast("string")
@@ -134,13 +137,21 @@ def claim_tasks(articles: DataFrame, salt: str, eval_pct: int = 20) -> DataFrame
     return first_of(out, ["task_id"], ["article_id", "source_index"])
 
 
+def near_miss(url: Column, seed: Column) -> Column:
+    """Another URL on the host of ``url`` (40 of 100), with its path (30), or unlike it (30)."""
+    host, rest = r"^([a-z]+://[^/]+)", r"^[a-z]+://[^/]+(.*)$"
+    kind = draw(seed, "kind") % 100
+    made = lambda other: F.when(kind < 40, F.concat(F.regexp_extract(url, host, 1), F.regexp_extract(other, rest, 1))).when(kind < 70, F.concat(F.regexp_extract(other, host, 1), F.regexp_extract(url, rest, 1))).otherwise(other)
+    return let(urls.make_url(seed), made)
+
+
 def url_tasks(spark, n: int, salt: str, variant: str = "pick", eval_pct: int = 20, tries: int = 12, near: int = 5) -> DataFrame:
     """Tasks of damaged URLs with candidates. A damage that the canonical form undoes is drawn again, up to ``tries``."""
     names = urls.QUERY_PRESERVING if variant == "compose" else tuple(k for k, (_, hard) in urls.CORRUPTIONS.items() if variant != "pick_hard" or hard == 3)
     base = spark.range(n).select("id", stable_seed(salt, variant, F.col("id").cast("string")).alias("seed"))
     made = base.withColumn("url", urls.make_url(F.col("seed"))).withColumn("donor", urls.make_url(draw(F.col("seed"), "donor")))
     gold = urls.compose(F.col("url"), F.col("donor")) if variant == "compose" else F.col("url")
-    others = F.array(*[urls.make_url(draw(F.col("seed"), f"near{i}")) for i in range(near)])
+    others = F.array(*[near_miss(F.col("url"), draw(F.col("seed"), f"near{i}")) for i in range(near)])
     made = made.withColumn("gold_url", gold).withColumn("candidates", F.array_distinct(F.concat(F.array("url"), F.when(F.lit(variant == "compose"), F.array("donor")).otherwise(F.array().cast("array<string>")), others)))
     tried = made.select("*", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("attempt")).withColumn("draw", draw(F.col("seed"), "try") + F.col("attempt"))
     tried = tried.withColumn("corruptions", urls.sample_kinds(F.col("draw"), names)).withColumn("broken", urls.corrupt(F.col("gold_url"), F.col("corruptions"), F.col("draw")))
@@ -154,10 +165,19 @@ def url_tasks(spark, n: int, salt: str, variant: str = "pick", eval_pct: int = 2
     return named.select("task_id", F.lit("url").alias("kind"), F.lit("url").alias("origin"), split_of(F.col("task_id"), salt, eval_pct).alias("split"), F.lit(variant).alias("prompt_variant"), F.col("id").cast("string").alias("source_id"), F.col("broken").alias("hypothesis"), "broken", "gold_url", F.col("gold_url").alias("label"), "corruptions", urls.difficulty(F.col("corruptions")).alias("difficulty"), F.size("evidence").alias("n_units"), "evidence")
 
 
+def url_manifest(spark, n_tasks: int, salt: str, synth_fraction: float = 0.4, eval_pct: int = 20) -> DataFrame:
+    """URL tasks: of the synthetic share half (rounded down) combine two URLs and the rest are hard, the others are plain."""
+    n_synth = round(n_tasks * synth_fraction)
+    quota = {"pick": n_tasks - n_synth, "compose": n_synth // 2, "pick_hard": n_synth - n_synth // 2}
+    out = [url_tasks(spark, n, salt, variant, eval_pct) for variant, n in quota.items()]
+    return first_of(out[0].unionByName(out[1]).unionByName(out[2]), ["task_id"], ["prompt_variant", "source_id"])
+
+
 def manifest_summary(tasks: DataFrame) -> DataFrame:
-    """Counts by split, variant, origin and label in one pass: dimension, value, n."""
-    dims = ("split", "prompt_variant", "origin", "label")
-    row = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d), F.lit("?")).alias("value")) for d in dims]))
+    """Counts by split, variant, origin and label, and by applied transform and difficulty where tasks have them, in one
+    pass: dimension, value, n."""
+    dims = ("split", "prompt_variant", "origin", "label", *(c for c in ("transform_applied", "difficulty") if c in tasks.columns))
+    row = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("?")).alias("value")) for d in dims]))
     return tasks.select(row.alias("r")).groupBy("r.dimension", "r.value").agg(F.count("*").alias("n"))
 
 

@@ -168,6 +168,30 @@ def test_farm(spark):
     assert own.first().answer == "entailed"
 
 
+def test_capped_runs(spark):
+    tasks = task(spark)
+    whole = farm.heuristic_runs(tasks)
+    assert farm.capped(whole, 12).collect() == whole.collect()
+    for caps, code, turns in (({"max_steps": 2}, "STEP_CAP", 2), ({"max_requests": 1}, "REQUEST_CAP", 1), ({"max_tokens": 13}, "STEP_CAP", 2), ({"max_steps": 0}, "STEP_CAP", 0), ({"max_steps": 1, "max_requests": 1}, "STEP_CAP", 1)):
+        cut = farm.capped(whole, 12, **caps)
+        r = cut.first()
+        assert (r.steps, r.requests, r.n_lookups, r.answer, r.cite, r.tokens.total) == (turns, turns, turns, None, [], 12 * turns)
+        assert sum(m.role == "assistant" for m in r.messages) == turns == sum(m.role == "tool" for m in r.messages)
+        assert gate.verify(cut, tasks).first().reason_code == code
+
+
+def test_url_manifest(spark):
+    tasks = taskpool.url_manifest(spark, 20, "m").cache()
+    n = {r[0]: r[1] for r in tasks.groupBy("prompt_variant").count().collect()}
+    assert n["pick"] <= 12 and n["compose"] <= 4 and n["pick_hard"] <= 4 and sum(n.values()) >= 17
+    assert {r.value for r in taskpool.manifest_summary(tasks).where("dimension = 'difficulty'").collect()} <= {"1", "2", "3"}
+    seeds = spark.range(200).select(F.xxhash64("id").alias("seed")).withColumn("seed", F.abs("seed"))
+    url = "https://docs.atlas.com/guide/api?id=2"
+    near = [r[0] for r in seeds.select(taskpool.near_miss(F.lit(url), F.col("seed"))).collect()]
+    assert 50 <= sum(x.startswith("https://docs.atlas.com/") for x in near) <= 110
+    assert 30 <= sum(x.endswith("/guide/api?id=2") for x in near) <= 90
+
+
 def test_records(spark, tmp_path):
     path = tmp_path / "runs.jsonl"
     path.write_text('{"id":"a","v":1}\n\n{"id":"b","v":2}\n{"id":"c", "v"')
