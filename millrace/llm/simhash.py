@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import shingle_join
 from millrace.llm._spark import cut
 from millrace.llm._text import chunks, lower_ascii, ragged, utf8, words
 from millrace.llm.graph import components
@@ -31,6 +32,9 @@ from millrace.llm.xxh import xxh64
 SHINGLE_WORDS = 3
 SEED = 42
 NEAR_BITS = 2
+#: What the pipeline's stage takes for near copies.
+KEEP_SHINGLE_WORDS = 5
+KEEP_SIMILARITY = 0.8
 #: Groups of more fingerprints look up each one's neighbours instead of comparing blocks.
 BLOCK_GROUP = 4096
 _WIDTHS = (22, 21, 21)
@@ -226,11 +230,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs with one document of each group: the one whose doc_id names the component.
+def keep_one(docs: DataFrame, shingle_words: int = KEEP_SHINGLE_WORDS, similarity: float = KEEP_SIMILARITY) -> DataFrame:
+    """The rows of docs with one document of each group: the one of the smallest doc_id.
 
-    Rows that share a doc_id are one document, of which one row stays. Rows without a doc_id stay.
+    Groups are those of links between all texts whose sets of shingles of ``shingle_words`` words have a Jaccard
+    similarity of at least ``similarity`` (taken to two places). Fingerprints are not asked: most such texts differ in
+    more than op2's 2 bits.
+    Rows of one doc_id and one text are one document, of which one row stays. Rows without a doc_id stay.
     """
-    heads = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = shingle_join.with_node(docs.where("doc_id is not null"), shingle_words)
+    prints = cut(named.select("doc_id", "node"))
+    found = shingle_join.linked_nodes(docs.where("doc_id is not null"), shingle_words, similarity)
+    groups = prints.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    heads = groups.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("head")).select("head.doc_id", "head.node")
+    kept = named.join(heads, ["doc_id", "node"], "left_semi").dropDuplicates(["doc_id", "node"])
     return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))

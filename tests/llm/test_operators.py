@@ -193,6 +193,32 @@ def test_op2_awkward_rows(docs):
     assert simhash.near_duplicates(empty(docs)).count() == 0
 
 
+def test_pipeline_keeps_one_of_five_word_near_copies(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for _ in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 4000, 150)]
+        for edits in range(9):  # each edit inside changes 5 shingles of 146
+            w = list(base)
+            for k in rng.choice(150, edits, replace=False):
+                w[k] = f"n{rng.integers(0, 1 << 40)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(len(rows) + i, " ".join(["one line that all have in common here"] * 2 + [f"u{i}v{j}" for j in range(40)])) for i in range(30)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    label = {i: i for i, _ in rows}
+    change = True
+    while change:
+        change = False
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if label[j] > label[i] and 10 * len(a & b) >= 8 * len(a | b):
+                    label[j], change = label[i], True
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = {i for i, x in label.items() if i == x}
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == expected
+    assert len({r.component_id for r in simhash.near_duplicates(docs).collect()}) > len(expected)
+
+
 def test_golay_keys_meet_at_two_bits():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 1 << 63, 300).astype(np.uint64) << np.uint64(1)
