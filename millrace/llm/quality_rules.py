@@ -29,7 +29,10 @@ class Band(NamedTuple):
     least_entropy: float  # bits, of the text's tokens
 
 
-LANGUAGE_BANDS = {"en": Band(2.1, 6.5, 0.1, 5.0), "de": Band(2.1, 6.5, 0.1, 5.0), "fr": Band(1.85, 6.5, 0.1, 5.0), "es": Band(1.85, 6.5, 0.1, 5.0)}
+#: Of documents labelled good that pass the base rules (sf0.1, not held out: 2,432): the 2 % and 99.9 % quantiles of
+#: characters a token, the 99.5 % quantile of byte tokens and the 0.5 % quantile of entropy.
+LANGUAGE_BANDS = {"en": Band(2.51, 2.83, 0.028, 5.8), "de": Band(2.51, 2.77, 0.022, 5.87), "fr": Band(2.24, 2.53, 0.027, 5.73), "es": Band(2.19, 2.48, 0.023, 5.84)}
+#: Not measured: the tables have no texts of other languages.
 SCRIPT_BANDS = {
     "latin": Band(1.5, 7.0, 0.2, 4.5),
     "greek": Band(0.8, 6.0, 0.3, 4.0),

@@ -355,6 +355,17 @@ def test_op6_equals_brute_force(docs):
     assert list(quality_rules.SCRIPT_BANDS)[quality_rules.scripts(["привет мир", "日本語", "abc"])[0]] == "cyrillic"
 
 
+def test_op6_bands_decide(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    judged = quality_rules.apply_rules(docs, public_tokenizers.path("piece_bpe_32k.model")).where("not base_failed").join(labels, "doc_id")
+    bad, good = (judged.where(f"quality = {q}").select(F.avg(F.col("kept").cast("int"))).first()[0] for q in (0, 1))
+    assert bad <= 0.1 and good >= 0.95
+    rows = docs.where("lang = 'en'").join(labels.where("quality = 1"), "doc_id").limit(20).collect()
+    ridden = [(r.doc_id, "".join(w + ("*** ", "$$$ ")[k % 2] for k, w in enumerate(r.text.split()[:400])), "en") for r in rows]
+    assert not any(r.kept for r in quality_rules.apply_rules(spark.createDataFrame(ridden, "doc_id long, text string, lang string"), public_tokenizers.path("piece_bpe_32k.model")).collect())
+
+
 def test_op5_cascade_is_exact(spark):
     universe = [f"site{i}.example.com" for i in range(3000)] + [None]
     listed = [f"site{i}.example.com" for i in range(0, 3000, 50)] + ["absent.example.com"]
