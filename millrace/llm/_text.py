@@ -7,6 +7,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
+from millrace.llm.xxh import xxh64
+
 #: Characters that are worked on at once. A longer text makes a chunk of its own: texts are never cut.
 CHUNK_CHARS = 800_000
 
@@ -25,6 +27,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 _UNIT = mix64(np.arange(1 << 16))
 _powers: dict[int, np.ndarray] = {}
+#: Longest span of a GramHash.
+LONGEST_GRAM = 64
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -37,20 +41,90 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-class SpanHash:
-    """64-bit hashes of any spans of one array of bytes or code points, after one pass over it."""
+class GramHash:
+    """Rolling polynomial hashes (modulo 2**64) of short spans of one array of code points, after one pass over it.
+
+    Only for spans of at most LONGEST_GRAM units: of structured texts of about 1,024 letters and more a polynomial
+    modulo a power of two is the same whatever its base. ``span_hash`` has no such bound.
+    """
 
     def __init__(self, units: np.ndarray):
-        values = _UNIT[units] if units.dtype == np.uint8 or not len(units) or int(units.max()) < 1 << 16 else mix64(units)
+        values = _UNIT[units] if not len(units) or int(units.max()) < 1 << 16 else mix64(units)
         self.sums = np.zeros(len(units) + 1, np.uint64)
         np.cumsum(values * _power(_BASE, len(units)), out=self.sums[1:])
         self.back = _power(_BASE_INV, len(units) + 1)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if len(start) and int((end - start).max()) > LONGEST_GRAM:
+            raise ValueError(f"a gram has at most {LONGEST_GRAM} units")
         h = (self.sums[end] - self.sums[start]) * self.back[start]
         return mix64(h ^ ((end - start).astype(np.uint64) << np.uint64(40)))
 
 
+_LONG = np.uint64(1 << 63)
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of an array of bytes on, as one number each; zeros follow its end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(padded) - 7, "<u8", padded, 0, (1,))
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes: of up to 7 bytes a scrambling of the bytes themselves, of others their XXH64."""
+    key, long = _keys(data, lanes(data), start, end - start)
+    out = mix64(key)
+    out[long] = key[long]
+    return out
+
+
+def _keys(data: np.ndarray, eight: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of spans of up to 7 bytes, the bytes with their length on top; of others, XXH64. And which ones are long."""
+    short = np.minimum(length, 7).astype(np.uint64)
+    key = eight[start] & (np.uint64(1) << (short << np.uint64(3))) - np.uint64(1) | short << np.uint64(56)
+    long = np.flatnonzero(length > 7)
+    if len(long):
+        key[long] = xxh64(data, start[long], length[long])
+    return key, long
+
+
+def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of every span among the distinct spans of bytes, and for each distinct one a span that is equal to it.
+
+    Spans are found by number or hash, but are the same only if their bytes are: those that differ from the first span
+    of their hash are told apart by a dictionary of bytes.
+    """
+    length, eight = end - start, lanes(data)
+    key, long = _keys(data, eight, start, length)
+    key[long] |= _LONG
+    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    if len(long):
+        like = first[number[long]]
+        other = long[_differ(eight, start[long], length[long], start[like], length[like])]
+        found: dict[bytes, int] = {}
+        more = []
+        for i in other.tolist():
+            body = data[start[i] : end[i]].tobytes()
+            if body not in found:
+                found[body] = len(first) + len(more)
+                more.append(i)
+            number[i] = found[body]
+        first = np.append(first, more).astype(np.int64)
+    return number, first
+
+
+def _differ(eight: np.ndarray, a: np.ndarray, size: np.ndarray, b: np.ndarray, other_size: np.ndarray) -> np.ndarray:
+    """Whether spans of over 7 bytes differ; eight bytes are compared at once."""
+    out = size != other_size
+    same = np.flatnonzero(~out & (a != b))
+    if len(same):
+        n = -(-size[same] // 8)
+        at = np.minimum(8 * ragged(n, np.zeros(len(n), np.int64)), np.repeat(size[same] - 8, n))
+        unlike = eight[np.repeat(a[same], n) + at] != eight[np.repeat(b[same], n) + at]
+        out[same] = np.logical_or.reduceat(unlike, np.cumsum(n) - n)
+    return out
+
+
 def ragged(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Indices start, start+1, ... of every span, one span after the other."""
     ends = np.cumsum(lengths)
@@ -123,8 +197,3 @@ _LOWER[65:91] += 32
 def lower_ascii(units: np.ndarray) -> np.ndarray:
     """A-Z lower-cased; everything else stays."""
     return _LOWER[units]
-
-
-def per_text(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """Sums of values by the text that they belong to."""
-    return np.bincount(owner, weights=values, minlength=n)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._text import SpanHash, chunks, lower_ascii, mix64, utf8, words
+from millrace.llm._text import chunks, lower_ascii, mix64, span_hash, utf8, words
 from millrace.llm.elias_fano import EliasFano, Trie, mapped
 
 SHARE = 0.5
@@ -45,7 +45,7 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, each text's followed by END, and the number of the text that each is in."""
     raw, offsets = utf8(texts)
     start, end, owner = words(raw, offsets)
-    h = SpanHash(lower_ascii(raw))(start, end)
+    h = span_hash(lower_ascii(raw), start, end) if len(start) else np.zeros(0, np.uint64)
     last = np.searchsorted(owner, np.arange(len(texts)), side="right")
     return np.insert(h, last, END), np.insert(owner, last, np.arange(len(texts)))
 

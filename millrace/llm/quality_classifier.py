@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm._sums import keep_rows, summed
-from millrace.llm._text import SpanHash, chunks, code_points, mix64
+from millrace.llm._text import chunks, code_points, mix64, span_hash
 
 BUCKETS = 1 << 13
 WIDTH = 32
@@ -55,7 +55,7 @@ def buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     real = broad[start] != 0
     start, end = start[real], end[real]
     unit = np.where(capital & (c < 128), c + 32, c)
-    h = SpanHash(unit.astype(np.uint32))(start, end)
+    h = span_hash(unit.astype("<u4").view(np.uint8), 4 * start, 4 * end) if len(start) else np.zeros(0, np.uint64)
     digits = broad[start] == 2
     h[digits] = mix64((end - start)[digits].astype(np.uint64))
     capitals = np.zeros(len(c) + 1, np.int64)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm._text import SpanHash, chunks, code_points, mix64, words
+from millrace.llm._text import chunks, code_points, distinct, utf8, words
 
 WINDOW_WORDS = 3
 SYMBOLS = "#*$%&|<>"
@@ -47,46 +47,44 @@ _STRETCHES = ((0, -1), (0x41, 0), (0x5B, -1), (0x61, 0), (0x7B, -1), (0xC0, 0),
 def text_counts(texts: list[str]) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of every text."""
     n = len(texts)
-    c, offsets = code_points(texts)
-    start, end, owner = words(c, offsets)
+    raw, offsets = utf8(texts)
+    start, end, owner = words(raw, offsets)
     count = np.bincount(owner, minlength=n)
-    symbol = np.flatnonzero(np.isin(np.minimum(c, 0xFF).astype(np.uint8), [ord(x) for x in SYMBOLS]))
-    hashed = SpanHash(c)
-    # words in windows found twice or more in their text
-    h = hashed(start, end)
-    m = max(len(h) - WINDOW_WORDS + 1, 0)
-    window = mix64(owner[:m].astype(np.uint64))
-    with np.errstate(over="ignore"):
-        for k in range(WINDOW_WORDS):
-            window = mix64(window * np.uint64(3) + h[k : m + k])
+    before = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum((raw & 0xC0) != 0x80, out=before[1:])  # code points
+    symbol = np.flatnonzero(np.isin(raw, [ord(x) for x in SYMBOLS]))
+    # words in windows found twice or more in their text; words and windows are numbered, so that equal means equal
+    number = distinct(raw, start, end)[0] if len(start) else start
+    m = max(len(number) - WINDOW_WORDS + 1, 0)
+    window = number[:m]
+    for k in range(1, WINDOW_WORDS):
+        window = np.unique(window * (1 + int(number.max(initial=0))) + number[k : m + k], return_inverse=True)[1]
     inside = np.flatnonzero(owner[:m] == owner[WINDOW_WORDS - 1 :]) if m else np.zeros(0, np.int64)
-    _, back, often = np.unique(window[inside], return_inverse=True, return_counts=True)
+    _, back, often = np.unique(window[inside] * n + owner[inside], return_inverse=True, return_counts=True)
     again = inside[often[back] > 1]
-    repeated = np.zeros(len(h), bool)
+    repeated = np.zeros(len(number), bool)
     for k in range(WINDOW_WORDS):
         repeated[again + k] = True
     # lines with a word that are equal to an earlier one
-    feed = np.flatnonzero(c == 0x0A)
+    feed = np.flatnonzero(raw == 0x0A)
     line_start = np.unique(np.concatenate([offsets[:-1], feed + 1]))
-    line_start = line_start[line_start < len(c)]
-    line_end = np.append(line_start[1:], len(c)) if len(line_start) else line_start
-    after = np.zeros(len(c) + 1, bool)
+    line_start = line_start[line_start < len(raw)]
+    line_end = np.append(line_start[1:], len(raw)) if len(line_start) else line_start
+    after = np.zeros(len(raw) + 1, bool)
     after[feed + 1] = True
     line_of = np.searchsorted(offsets, line_start, side="right") - 1
     line_end = line_end - after[line_end] if len(line_start) else line_end
     first_word = np.searchsorted(start, line_start)
     has_word = first_word < len(start)
     has_word[has_word] = start[first_word[has_word]] < line_end[has_word]
-    with np.errstate(over="ignore"):
-        lines = mix64(hashed(line_start[has_word], line_end[has_word]) + mix64(line_of[has_word].astype(np.uint64)))
-    _, first_line = np.unique(lines, return_index=True)
     owners = line_of[has_word]
+    lines = distinct(raw, line_start[has_word], line_end[has_word])[0] if len(owners) else owners
+    _, first_line = np.unique(lines * n + owners, return_index=True)
     duplicates = np.bincount(owners, minlength=n) - np.bincount(owners[first_line], minlength=n)
-    by_text = lambda at: np.bincount(np.searchsorted(offsets, at, side="right") - 1, minlength=n)
     return {
         "n_words": count,
-        "word_chars": np.bincount(owner, weights=end - start, minlength=n).astype(np.int64),
-        "n_symbols": by_text(symbol),
+        "word_chars": np.bincount(owner, weights=before[end] - before[start], minlength=n).astype(np.int64),
+        "n_symbols": np.bincount(np.searchsorted(offsets, symbol, side="right") - 1, minlength=n),
         "n_dup_lines": duplicates,
         "n_repeat_words": np.bincount(owner[repeated], minlength=n),
     }

@@ -1,6 +1,6 @@
 """Winnowing fingerprints of whole texts, and the likeness of texts by them.
 
-All k-grams of a text's code points are hashed (32 bits of a rolling hash); of every window of w k-grams the smallest
+All k-grams of a text's code points are hashed (32 bits of a rolling hash, for k of at most 64); of every window of w k-grams the smallest
 hash is chosen, of equal ones the rightmost, with its position. So any passage of at least w + k - 1 code points that
 two texts share gives them a hash in common, and no match shorter than k is seen. A text of fewer than k code points
 has one gram, the whole text; one of fewer than w grams has one window; an empty text has no fingerprint.
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._text import SpanHash, chunks, code_points, ragged
+from millrace.llm._text import GramHash, chunks, code_points, ragged
 
 GRAM = 16
 WINDOW = 32
@@ -37,7 +37,7 @@ def winnow(texts: list[str], gram: int = GRAM, window: int = WINDOW) -> tuple[np
     first = np.cumsum(grams) - grams
     start = ragged(grams, offsets[:-1])
     end = np.minimum(start + gram, np.repeat(offsets[1:], grams))
-    h = SpanHash(c)(start, end) >> np.uint64(32)
+    h = GramHash(c)(start, end) >> np.uint64(32)
     place = (start - np.repeat(offsets[:-1], grams)).astype(np.uint64)
     rank = h << np.uint64(32) | _LAST - place  # smallest hash first, then rightmost
     least, span = rank, 1

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
+#: Longer spans are hashed one by one.
+_VECTOR = 256
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
 
 
@@ -17,6 +20,14 @@ def _round(acc, lane):
 
 def xxh64(data: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int = 0) -> np.ndarray:
     """The hash of data[start : start + length] for every span (uint8 data)."""
+    long = np.flatnonzero(length > _VECTOR)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        out = np.empty(len(start), np.uint64)
+        rest = np.flatnonzero(length <= _VECTOR)
+        out[rest] = xxh64(data, start[rest], length[rest], seed)
+        out[long] = [xxhash.xxh64_intdigest(raw[a : a + n], seed) for a, n in zip(start[long].tolist(), length[long].tolist())]
+        return out
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     lanes8 = np.ndarray(len(padded) - 7, "<u8", padded, 0, (1,))
     lanes4 = np.ndarray(len(padded) - 7, "<u4", padded, 0, (1,))
