@@ -6,19 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import language_id, packing, quality_classifier, simhash
-from millrace.llm._spark import BATCH_ROWS, id_mod, shared_path
+from millrace.llm._spark import BATCH_ROWS, held_out, shared_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters or without a clear language; learns from lang of the documents not held out."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return language_id.keep_identified(docs, language_id.train(docs, id_mod("doc_id", 4) != 2))
+    return language_id.keep_identified(docs, language_id.train(docs, ~held_out(4)))
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier scores below its threshold; learns from labels not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_classifier.keep_good(docs, quality_classifier.train(docs, labels, id_mod("doc_id", 4) != 2))
+    return quality_classifier.keep_good(docs, quality_classifier.train(docs, labels, ~held_out(4)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

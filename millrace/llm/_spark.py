@@ -1,10 +1,10 @@
-"""Session helpers of the operators: the shared folder, and tables that cut lineage."""
+"""Session helpers of the operators: the shared folder, and tables in it that cut lineage."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch; texts are long, so a batch is kept small and operators regroup rows by size.
@@ -26,9 +26,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, kept in the shared folder: what made them is not run again, whichever executors are lost."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """The same rows, written to the shared folder and read from there: what made them is not run again, whichever
+    executors are lost, and the planner knows their size."""
+    path = shared_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._shared_folder = path
+    return out
+
+
+def discard(*tables: DataFrame | str) -> None:
+    """Removes tables that ``cut`` wrote, or folders, which nothing will read any more."""
+    for t in tables:
+        path = t if isinstance(t, str) else getattr(t, "_shared_folder", None)
+        spark = SparkSession.getActiveSession()
+        if path and spark:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +50,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_mod(column: str, n: int):
-    """crc32 of an id as text, modulo n (null: null)."""
-    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
+def id_type(docs: DataFrame, column: str = "doc_id") -> str:
+    """The type of an id column, for a schema."""
+    return docs.schema[column].dataType.simpleString()
+
+
+def held_out(n: int, remainder: int = 2, column: str = "doc_id") -> Column:
+    """Whether the crc32 of an id as text has this remainder by n; a null id has none."""
+    return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n)) == remainder, F.lit(False))

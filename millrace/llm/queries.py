@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import language_id, ngram_lm, packing, quality_classifier, quality_rules, simhash, token_codec, token_file, url_filter, winnow
-from millrace.llm._spark import id_mod, shared_path, table
+from millrace.llm._spark import held_out, shared_path, table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = quality_classifier.train(docs, labels, id_mod("doc_id", 4) != 2)
+    model = quality_classifier.train(docs, labels, ~held_out(4))
     scored = quality_classifier.score(docs, model)
-    return scored.select("doc_id", (id_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= quality_classifier.KEEP_FROM).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(4).alias("held_out"), "score", (F.col("score") >= quality_classifier.KEEP_FROM).cast("int").alias("predicted"))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = ngram_lm.score(table(spark, sf_dir, "documents"), id_mod("doc_id", 7) != 2)
-    return scored.withColumn("held_out", id_mod("doc_id", 7) == 2).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    scored = ngram_lm.score(table(spark, sf_dir, "documents"), ~held_out(7))
+    return scored.withColumn("held_out", held_out(7)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +48,8 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    field = language_id.train(docs, id_mod("doc_id", 4) != 2)
-    return language_id.identify(docs, field).select("doc_id", (id_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    field = language_id.train(docs, ~held_out(4))
+    return language_id.identify(docs, field).select("doc_id", held_out(4).alias("held_out"), "lang_pred", "score")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
