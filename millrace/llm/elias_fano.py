@@ -1,4 +1,8 @@
-"""Elias-Fano sequences and a two-level n-gram trie over them, in one compact run of bytes that can be memory-mapped."""
+"""Elias-Fano sequences and a two-level n-gram trie over them, in one compact run of bytes that can be memory-mapped.
+
+Nothing is unpacked: a value is found in the mapped bits by selecting its one among the unary high parts. For that a
+sequence has a directory, the number of ones before every 64 bits (half a bit a bit), which is mapped too.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,11 @@ import tempfile
 
 import numpy as np
 
+_BYTE = np.arange(256)[:, None] >> np.arange(8) & 1
+_ONES = _BYTE.sum(axis=1).astype(np.uint8)
+#: The place of the r-th one of every byte.
+_PLACE = np.argsort(1 - _BYTE, axis=1, kind="stable").astype(np.uint8)
+
 
 def _pack_low(values: np.ndarray, width: int) -> bytes:
     """The low ``width`` bits of every value, one after the other."""
@@ -20,6 +29,16 @@ def _pack_low(values: np.ndarray, width: int) -> bytes:
     return b"".join(out)
 
 
+def _in_word(word: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """The place of the r-th one in each 64-bit word."""
+    each = word.astype("<u8").view(np.uint8).reshape(-1, 8)
+    until = np.cumsum(_ONES[each], axis=1, dtype=np.int64)
+    byte = (until <= r[:, None]).sum(axis=1)
+    at = np.arange(len(r))
+    before = np.where(byte > 0, until[at, byte - 1], 0)
+    return 8 * byte + _PLACE[each[at, byte], r - before]
+
+
 class EliasFano:
     """A non-decreasing sequence of integers below 2**63: high parts in unary, low parts in equal widths."""
 
@@ -29,54 +48,72 @@ class EliasFano:
         width = min(56, max(0, (universe // n).bit_length() - 1)) if n else 0
         v = values.astype(np.uint64)
         high = (v >> np.uint64(width)).astype(np.int64)
-        unary = np.zeros(n + (int(high[-1]) if n else 0) + 1, np.uint8)
+        size = n + (int(high[-1]) if n else 0) + 1
+        unary = np.zeros(-(-size // 64) * 64, np.uint8)
         unary[high + np.arange(n)] = 1
-        low, top = _pack_low(v, width), np.packbits(unary, bitorder="little").tobytes()
-        return struct.pack("<QQQQ", n, width, len(low), len(unary)) + low + bytes(8) + top
+        words = np.packbits(unary, bitorder="little").view("<u8")
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)]).astype("<u4")
+        low = _pack_low(v, width)
+        low += bytes(8 + -len(low) % 8)
+        return struct.pack("<QQQQ", n, width, len(low), len(words)) + low + words.tobytes() + ones.tobytes() + bytes(4 * (len(ones) % 2))
 
     def __init__(self, data: np.ndarray, at: int = 0):
-        self.n, self.width, low, bits = struct.unpack("<QQQQ", data[at : at + 32].tobytes())
+        self.n, self.width, low, words = struct.unpack("<QQQQ", data[at : at + 32].tobytes())
         begin = at + 32
-        self.low = data[begin : begin + low + 8]
-        self.lanes = np.ndarray(max(low + 1, 1), "<u8", self.low, 0, (1,))
-        top = begin + low + 8
-        self.end = top + (bits + 7) // 8
-        unary = np.unpackbits(data[top : self.end], bitorder="little", count=bits)
-        zeros = np.flatnonzero(unary == 0)
-        self.starts = np.append(0, zeros - np.arange(len(zeros)))  # how many values have a smaller high part
-        self.high = np.flatnonzero(unary) - np.arange(self.n)
+        self.lanes = np.ndarray(low - 7, "<u8", data[begin : begin + low], 0, (1,))
+        self.words = data[begin + low : begin + low + 8 * words].view("<u8")
+        ones = begin + low + 8 * words
+        self.ones = data[ones : ones + 4 * (words + 1)].view("<u4")
+        self.zeros = (np.arange(words + 1) * 64 - self.ones).astype(np.uint32)  # a hundredth of a mapped sequence or so
+        self.end = ones + 4 * (words + 1) + 4 * ((words + 1) % 2)
 
     def __len__(self) -> int:
         return self.n
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        out = self.high[i].astype(np.uint64) << np.uint64(self.width)
+        word = np.searchsorted(self.ones, i, side="right") - 1
+        high = 64 * word + _in_word(self.words[word], i - self.ones[word]) - i
+        out = high.astype(np.uint64) << np.uint64(self.width)
         if self.width:
             bit = i * self.width
             out |= (self.lanes[bit >> 3] >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.width) - 1)
         return out
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """The place of the first value that is not below x (the length if there is none).
+    def _smaller(self, h: np.ndarray) -> np.ndarray:
+        """How many values have a high part below h (over 0): the place of the zero that ends h - 1, without the zeros."""
+        out = np.full(len(h), self.n, np.int64)
+        inside = np.flatnonzero(h <= int(self.zeros[-1]))
+        z = h[inside] - 1
+        word = np.searchsorted(self.zeros, z, side="right") - 1
+        out[inside] = 64 * word + _in_word(~self.words[word], z - self.zeros[word]) - z
+        return np.minimum(out, self.n)
+
+    def successor(self, x: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
+        """The place of the first value, of those from place low up to high, that is not below x (high if there is none).
 
-        Values that share x's high part are halved, not read one by one: a frequent context has many of them.
+        Values that share x's high part are halved, not read one by one.
         """
         x = x.astype(np.uint64)
-        h = np.minimum((x >> np.uint64(self.width)).astype(np.int64), len(self.starts) - 1)
-        low, high = self.starts[h], self.starts[np.minimum(h + 1, len(self.starts) - 1)]
-        on = np.flatnonzero(low < high)
+        h = np.minimum(x >> np.uint64(self.width), np.uint64(1 << 62)).astype(np.int64)
+        first = np.zeros(len(x), np.int64)
+        some = np.flatnonzero(h > 0)
+        first[some] = self._smaller(h[some])
+        last = self._smaller(h + 1)
+        if low is not None:
+            first, last = np.clip(first, low, high), np.clip(last, low, high)
+        on = np.flatnonzero(first < last)
         while len(on):
-            mid = (low[on] + high[on]) >> 1
+            mid = (first[on] + last[on]) >> 1
             less = self[mid] < x[on]
-            low[on[less]] = mid[less] + 1
-            high[on[~less]] = mid[~less]
-            on = on[low[on] < high[on]]
-        return low
-
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """The place of x, -1 where it is not in the sequence."""
-        i = self.successor(x)
-        inside = np.flatnonzero(i < self.n)
+            first[on[less]] = mid[less] + 1
+            last[on[~less]] = mid[~less]
+            on = on[first[on] < last[on]]
+        return first
+
+    def find(self, x: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
+        """The place of x from low up to high, -1 where it is not there."""
+        i = self.successor(x, low, high)
+        inside = np.flatnonzero(i < (self.n if high is None else high))
         out = np.full(len(x), -1, np.int64)
         hit = inside[self[i[inside]] == x[inside].astype(np.uint64)]
         out[hit] = i[hit]
@@ -84,7 +121,8 @@ class EliasFano:
 
 
 def mapped(blob: bytes) -> np.ndarray:
-    """The bytes as a memory-mapped file without a name, which goes with its last reader."""
+    """The bytes as a memory-mapped file without a name, which goes with its last reader. It is the task's own scratch:
+    a task that is run again writes its own."""
     with tempfile.TemporaryFile() as f:
         f.write(blob)
         f.flush()
@@ -94,8 +132,8 @@ def mapped(blob: bytes) -> np.ndarray:
 class Trie:
     """Contexts, monotone pointers to their successors, successors relative to their context, and a code for each.
 
-    A successor is stored as (rank of its context, word), so the whole level is one monotone sequence, and a search
-    goes to the context's stretch directly.
+    Level 1 has the contexts in order. The successors of the context of rank k lie between pointers k and k + 1 of level
+    2, as (k, word), so that the whole level does not decrease; a search looks between the two pointers only.
     """
 
     @staticmethod
@@ -123,14 +161,23 @@ class Trie:
         self.codes = data[self.words.end :]
 
     def lookup(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The code of every pair (0: not there)."""
+        """The code of every pair (0: not there); pairs with one context should follow each other."""
         out = np.zeros(len(context), np.uint8)
-        inside = np.flatnonzero(context >= self.below)
-        rank = self.contexts.find(context[inside] - self.below)
-        inside, rank = inside[rank >= 0], rank[rank >= 0]
-        at = self.words.successor(rank.astype(np.uint64) << self.bits | word[inside])
-        ok = at < self.pointers[rank + 1].astype(np.int64)
-        inside, rank, at = inside[ok], rank[ok], at[ok]
-        same = self.words[at] == (rank.astype(np.uint64) << self.bits | word[inside])
-        out[inside[same]] = self.codes[at[same]]
+        if not len(context):
+            return out
+        fresh = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        asked = context[fresh]
+        inside = np.flatnonzero(asked >= self.below)
+        rank = np.full(len(asked), -1, np.int64)
+        rank[inside] = self.contexts.find(asked[inside] - self.below)
+        known = np.flatnonzero(rank >= 0)
+        begin, end = np.zeros((2, len(asked)), np.int64)
+        begin[known] = self.pointers[rank[known]].astype(np.int64)
+        end[known] = self.pointers[rank[known] + 1].astype(np.int64)
+        of = np.repeat(np.arange(len(asked)), np.diff(np.append(fresh, len(context))))
+        at = np.flatnonzero(rank[of] >= 0)
+        of = of[at]
+        place = self.words.find(rank[of].astype(np.uint64) << self.bits | word[at], begin[of], end[of])
+        hit = place >= 0
+        out[at[hit]] = self.codes[place[hit]]
         return out

@@ -1,42 +1,44 @@
 """Language-model scores of whole texts under a bigram model of the corpus, kept in Elias-Fano tries.
 
 A model of a corpus grows with it, so it is never in one place: it is cut into shards by ranges of word and of pair,
-each a small trie in memory-mapped bytes. Texts are dealt into blocks. A block sends each shard the distinct words or
-pairs that it has in the shard's range, sorted and delta-coded, with their counts in training texts. A shard adds up the
-counts of all blocks, builds its trie, looks up what each block asked and answers in the order of the question: counts
-of words, and one byte for a pair. The block reads its texts again and adds up scores. So a word or pair that every
-text has costs a shard one entry a block, not one a text, and answers are a byte an entry however many shards there are.
-
-Level 1 holds words with their counts, level 2 pairs by context: contexts, pointers, successors and quantised
-probabilities. A pair's joint probability is stored in 255 logarithmic steps from 1 / N to 1; the score of a word after
-another is SHARE of its conditional probability (joint over the context's) and the rest of the add-one probability of
-the word alone, which is what a word has that follows a context never seen. A frequent context is cut into SLICES by
-successor, which lie in different shards.
-
-Words and pairs are known by hashes: 64 bits for a word, and for a pair so many that a pair that was never seen is
-taken for one that was about once in a million lookups.
-
-The order is 2: with pairs of words, half of all text is already seen once only, and triples would about double what
-is shuffled.
+each a small trie in memory-mapped bytes. Texts are dealt into blocks. In a first round a block sends each shard of
+words the distinct words that it has there, sorted and delta-coded, with their counts in training texts; a shard adds
+up the counts of all blocks and answers in the order of the question. From these a block knows the count and the
+smoothed probability of every word that it has. In a second round it sends each shard of pairs its distinct pairs with
+their counts, the count of each context and the probability of each second word; the shard smooths, quantises, builds
+its trie and answers with a byte a pair. The block reads its texts again and adds up scores. So a word or pair that
+every text has costs a shard one entry a block, not one a text.
+
+A shard's trie holds contexts, pointers, successors and quantised smoothed probabilities: SHARE of a pair's count over
+its context's and the rest of the add-one probability of the word, in 255 logarithmic steps down to the least one that
+there can be. A pair that training does not have gets the rest alone, a context that it does not have the word's own
+probability. A frequent context is cut into SLICES by successor, which lie in different shards.
+
+Words and pairs are known by hashes: 64 bits for a word, and for a pair twice ``bits``; of pairs that were never seen,
+fewer than one in a million are taken for one that was. Blocks and shards grow with the cube root of a corpus of over
+SMALL bytes, so that what one block sends to one shard stays many keys long.
+
+The order is 2: see the README for what triples would add to the shuffle.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._text import chunks, lower_ascii, mix64, span_hash, utf8, words
+from millrace.llm._spark import cut, id_type
+from millrace.llm._text import lower_ascii, mix64, span_hash, utf8, words
 from millrace.llm.elias_fano import EliasFano, Trie, mapped
 
 SHARE = 0.5
 SLICES = np.uint64(16)
-BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 64 << 20
+BLOCK_BYTES, MOST_BLOCK_BYTES = 8 << 20, 32 << 20
+SHARD_BYTES, MOST_SHARD_BYTES = 64 << 20, 512 << 20
+SMALL = 1 << 40
 STEPS = 254
 END, BEGIN = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
 
@@ -108,135 +110,182 @@ def _borders(shards: int, bits: int) -> np.ndarray:
     return np.array([(i << bits) // shards for i in range(1, shards)], np.uint64)
 
 
-def statistics(docs: DataFrame, shards: int) -> tuple[int, int]:
-    """Tokens and distinct tokens of docs (text): distinct hashes are counted where their range lies."""
-    borders = _borders(shards, 64)
+def quantise(p: np.ndarray, least: float) -> np.ndarray:
+    """Probabilities from ``least`` to 1 as codes 1..255, in equal steps of their logarithm."""
+    return (1 + np.round(STEPS * (1 - np.log(p) / min(math.log(least), -1e-9)))).clip(1, 255).astype(np.uint8)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
 
-        def out() -> pa.RecordBatch:
-            keys = np.unique(np.concatenate(held))
-            at = np.concatenate([[0], np.searchsorted(keys, borders), [len(keys)]])
-            full = np.flatnonzero(np.diff(at)).tolist()
-            blobs = [pack_sorted(keys[at[i] : at[i + 1]]) for i in full]
-            return pa.RecordBatch.from_pydict({"shard": pa.array(full, pa.int32()), "keys": pa.array(blobs, pa.binary()), "n": pa.array([total if k == 0 else 0 for k in range(len(full))], pa.int64())})
+def dequantised(least: float) -> np.ndarray:
+    """The probability of every code (0: none)."""
+    out = np.exp((1 - (np.arange(256) - 1) / STEPS) * min(math.log(least), -1e-9))
+    out[0] = 0
+    return out
 
-        for _, texts in chunks(batches):
-            h, _ = tokens(texts)
-            held.append(np.unique(h))
-            total += len(h)
-            if sum(map(len, held)) > 3_000_000:
-                yield out()
-                held, total = [], 0
-        if held:
-            yield out()
 
-    def distinct(table: pa.Table) -> pa.Table:
-        keys = np.unique(np.concatenate([unpack_sorted(x) for x in table.column("keys").to_pylist()]))
-        return pa.table({"v": pa.array([len(keys)], pa.int64()), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64())})
+def _sent(keys: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where sorted keys are cut by shard, and the shards that have any (of many shards most have nothing of a block)."""
+    at = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+    return at, np.flatnonzero(np.diff(at))
 
-    found = docs.select("text").mapInArrow(run, "shard int, keys binary, n long").groupBy("shard").applyInArrow(distinct, "v long, n long")
-    n, v = found.agg(F.sum("n"), F.sum("v")).first()
-    return n or 0, v or 0
 
+def _blobs(table: pa.Table, column: str, unpack) -> np.ndarray:
+    return np.concatenate([unpack(x) for x in table.column(column).to_pylist()])
 
-def quantise(counts: np.ndarray, total: int) -> np.ndarray:
-    """Counts of 1 and more as codes 1..255: steps of log10 of the joint probability from 1 / total to 1."""
-    return (1 + np.round(STEPS * np.log(counts) / max(math.log(max(total, 2)), 1e-9))).astype(np.uint8)
 
+def pack_runs(values: np.ndarray) -> bytes:
+    """Numbers of which many in a row are equal: each with how often it comes."""
+    fresh = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    lengths = pack_counts(np.diff(np.append(fresh, len(values))))
+    return len(lengths).to_bytes(8, "little") + lengths + pack_counts(values[fresh])
 
-def dequantised(total: int) -> np.ndarray:
-    """The joint probability of every code (0: none)."""
-    out = np.exp((np.arange(256) - 1) / STEPS * math.log(max(total, 2))) / max(total, 1)
-    out[0] = 0
-    return out
+
+def unpack_runs(blob: bytes) -> np.ndarray:
+    n = 8 + int.from_bytes(blob[:8], "little")
+    return np.repeat(unpack_counts(blob[n:]), unpack_counts(blob[8:n]))
+
+
+def _grown(base: int, most: int, size: int) -> int:
+    return min(most, round(base * max(1.0, size / SMALL) ** (1 / 3)))
 
 
 def score(docs: DataFrame, learn: Column, share: float = SHARE) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text).
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id of any type, text).
 
     The model is learned from the rows for which ``learn`` (of doc_id) holds. n_known counts tokens that training has;
     base_score sums log10((c + 1) / (N + V + 1)), score the model's log10 probabilities. A null text is empty and has
-    its end alone. Repeated rows count, and come out, as often as they go in. Without training rows every token has
-    probability 1. Columns other than doc_id and text are not read.
+    its end alone; long texts are read whole. Repeated rows count, and come out, as often as they go in. Without
+    training rows every token has probability 1. An empty table gives no rows. Columns other than doc_id and text are
+    not read.
     """
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(tasks, -(-size // SHARD_BYTES))
-    blocks = max(tasks, -(-size // BLOCK_BYTES))
+    shards = max(tasks, -(-size // _grown(SHARD_BYTES, MOST_SHARD_BYTES, size)))
+    blocks = max(tasks, -(-size // _grown(BLOCK_BYTES, MOST_BLOCK_BYTES, size)))
     bits = min(32, max(16, -(-(max(size, 1).bit_length() + 18) // 2)))
-    total, distinct = statistics(docs.where(learn), shards)
-    normal = total + distinct + 1
     word_borders, pair_borders = _borders(shards, 64), _borders(shards, 2 * bits)
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    dealt = docs.select("doc_id", "text", learn.alias("learn"), block.alias("block")).repartition(tasks, "block")
-
-    def block_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h, owner = tokens([t or "" for t in table.column("text").to_pylist()])
-        return h, owner, pairs(h, owner, bits)
-
-    def ask(table: pa.Table) -> pa.Table:
-        """What a block asks of all shards: (shard, block, keys, counts); shards of pairs follow those of words."""
-        h, owner, two = block_keys(table)
-        learned = np.array(table.column("learn").to_pylist(), bool)[owner]
-        rows: dict[str, list] = {"shard": [], "block": [], "keys": [], "counts": []}
-        for base, keys, borders in ((0, h, word_borders), (shards, two, pair_borders)):
-            u, inverse = np.unique(keys, return_inverse=True)
-            counts = np.bincount(inverse, weights=learned, minlength=len(u)).astype(np.int64)
-            at = np.concatenate([[0], np.searchsorted(u, borders), [len(u)]])
-            for i in np.flatnonzero(np.diff(at)).tolist():  # most shards have nothing of a block when there are many
-                a, b = int(at[i]), int(at[i + 1])
-                rows["shard"].append(base + i)
-                rows["keys"].append(pack_sorted(u[a:b]))
-                rows["counts"].append(pack_counts(counts[a:b]))
-        rows["block"] = [table.column("block")[0].as_py()] * len(rows["shard"])
-        return pa.table(rows, pa.schema({"shard": pa.int32(), "block": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}))
-
-    def answer(table: pa.Table) -> pa.Table:
-        """A shard's answers: (block, shard, what was asked, in order)."""
-        shard = table.column("shard")[0].as_py()
+    dealt = docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"), block.alias("block")).repartition(tasks, "block")
+
+    def block_tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return tokens([t or "" for t in table.column("text").to_pylist()])
+
+    def learned(table: pa.Table, owner: np.ndarray, inverse: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(inverse, weights=np.array(table.column("learn").to_pylist(), bool)[owner], minlength=n).astype(np.int64)
+
+    def ask_words(table: pa.Table) -> pa.Table:
+        """What a block asks of the shards of words: (shard, block, keys, counts)."""
+        h, owner = block_tokens(table)
+        u, inverse = np.unique(h, return_inverse=True)
+        counts = learned(table, owner, inverse, len(u))
+        at, some = _sent(u, word_borders)
+        spans = [(int(at[i]), int(at[i + 1])) for i in some]
+        return pa.table(
+            {
+                "shard": pa.array(some, pa.int32()),
+                "block": pa.array([table.column("block")[0].as_py()] * len(some), pa.int32()),
+                "keys": pa.array([pack_sorted(u[a:b]) for a, b in spans], pa.binary()),
+                "counts": pa.array([pack_counts(counts[a:b]) for a, b in spans], pa.binary()),
+            }
+        )
+
+    def answer_words(table: pa.Table) -> pa.Table:
+        """A shard's answers (block, shard, counts in order); its tokens and distinct tokens come with the first one."""
         asked = table.column("keys").to_pylist()
-        keys = np.concatenate([unpack_sorted(x) for x in asked])
-        counts = np.concatenate([unpack_counts(x) for x in table.column("counts").to_pylist()])
+        keys, counts = np.concatenate([unpack_sorted(x) for x in asked]), _blobs(table, "counts", unpack_counts)
         known = counts > 0
         keys, counts = _added(keys[known], counts[known])
+        below = keys[0] if len(keys) else np.uint64(0)
+        level = EliasFano(mapped(EliasFano.encode(keys - below, int(keys[-1] - below) + 1 if len(keys) else 1)))
         out = []
-        if shard < shards:
-            below = keys[0] if len(keys) else np.uint64(0)
-            level = EliasFano(mapped(EliasFano.encode(keys - below, int(keys[-1] - below) + 1 if len(keys) else 1)))
-            for x in asked:
-                q = unpack_sorted(x)
-                at = np.full(len(q), -1, np.int64)
-                inside = np.flatnonzero((q >= below) & (q <= keys[-1])) if len(keys) else np.zeros(0, np.int64)
-                at[inside] = level.find(q[inside] - below)
-                out.append(pack_counts(np.where(at >= 0, counts[at] if len(counts) else 0, 0)))
-        else:
-            low = np.uint64((1 << bits) - 1)
-            trie = Trie(mapped(Trie.encode(keys >> np.uint64(bits), keys & low, quantise(counts, total), bits)))
-            for x in asked:
-                q = unpack_sorted(x)
-                out.append(trie.lookup(q >> np.uint64(bits), q & low).tobytes())
-        return pa.table({"block": table.column("block"), "shard": pa.array([shard] * len(out), pa.int32()), "answer": pa.array(out, pa.binary())})
-
-    joint = dequantised(total)
-
-    def add_up(texts: pa.Table, replies: pa.Table) -> pa.Table:
-        h, owner, two = block_keys(texts)
-        order = sorted(zip(replies.column("shard").to_pylist(), replies.column("answer").to_pylist()))
-        counts = np.concatenate([np.zeros(0, np.int64), *(unpack_counts(x) for s, x in order if s < shards)])
-        codes = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x, np.uint8) for s, x in order if s >= shards)])
-        c = counts[np.unique(h, return_inverse=True)[1]]
-        code = codes[np.unique(two, return_inverse=True)[1]]
-        n = texts.num_rows
+        for x in asked:
+            q = unpack_sorted(x)
+            at = np.full(len(q), -1, np.int64)
+            inside = np.flatnonzero((q >= below) & (q <= keys[-1])) if len(keys) else np.zeros(0, np.int64)
+            at[inside] = level.find(q[inside] - below)
+            out.append(pack_counts(np.where(at >= 0, counts[at] if len(counts) else 0, 0)))
+        rest = [0] * (len(out) - 1)
+        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "answer": pa.array(out, pa.binary()), "n": pa.array([int(counts.sum()), *rest], pa.int64()), "v": pa.array([len(keys), *rest], pa.int64())})
+
+    asked = dealt.groupBy("block").applyInArrow(ask_words, "shard int, block int, keys binary, counts binary")
+    replies = cut(asked.groupBy("shard").applyInArrow(answer_words, "block int, shard int, answer binary, n long, v long"))
+    total, distinct = replies.agg(F.sum("n"), F.sum("v")).first()
+    total, normal = total or 0, (total or 0) + (distinct or 0) + 1
+    least = (1 - share) / normal
+    by_block = replies.select("block", "shard", "answer").groupBy("block")
+
+    def in_order(table: pa.Table, unpack) -> np.ndarray:
+        """What all shards have answered, in the order in which it was asked."""
+        rows = sorted(zip(table.column("shard").to_pylist(), table.column("answer").to_pylist()))
+        return np.concatenate([unpack(b"" if unpack is as_codes else pack_counts(np.zeros(0, np.int64))), *(unpack(x) for _, x in rows)])
+
+    def as_codes(blob: bytes) -> np.ndarray:
+        return np.frombuffer(blob, np.uint8)
+
+    def known_words(texts: pa.Table, answers: pa.Table) -> tuple[np.ndarray, ...]:
+        """Tokens, their owners, and for each its training count and that of its context."""
+        h, owner = block_tokens(texts)
+        u, inverse = np.unique(h, return_inverse=True)
+        counts = in_order(answers, unpack_counts)
+        c = counts[inverse]
         first = np.ones(len(h), bool)
         first[1:] = owner[1:] != owner[:-1]
         before = np.empty_like(c)
         before[1:] = c[:-1]
-        before[first] = trained
+        before[first] = counts[np.searchsorted(u, END)]  # as many texts begin as end
+        return h, owner, c, before
+
+    def ask_pairs(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        """What a block asks of the shards of pairs: keys and counts; of pairs that it has from training texts, codes of
+        the second words' probabilities, and the counts of their contexts."""
+        h, owner, c, before = known_words(texts, answers)
+        u, where, inverse = np.unique(pairs(h, owner, bits), return_index=True, return_inverse=True)
+        counts = learned(texts, owner, inverse, len(u))
+        alone = quantise((c[where] + 1) / normal, 1 / normal)
+        at, some = _sent(u, pair_borders)
+        rows: dict[str, list] = {"shard": some.tolist(), "block": [texts.column("block")[0].as_py()] * len(some), "keys": [], "counts": [], "alone": [], "contexts": []}
+        for a, b in ((int(at[i]), int(at[i + 1])) for i in some):
+            own = a + np.flatnonzero(counts[a:b])
+            rows["keys"].append(pack_sorted(u[a:b]))
+            rows["counts"].append(pack_counts(counts[a:b]))
+            rows["alone"].append(alone[own].tobytes())
+            rows["contexts"].append(pack_runs(before[where[own]]))
+        return pa.table(rows, pa.schema({"shard": pa.int32(), "block": pa.int32(), "keys": pa.binary(), "counts": pa.binary(), "alone": pa.binary(), "contexts": pa.binary()}))
+
+    def answer_pairs(table: pa.Table) -> pa.Table:
+        """A shard's answers: (block, shard, a code for each pair in order)."""
+        asked = table.column("keys").to_pylist()
+        keys, counts, alone, contexts = [], [], [], []
+        for k, n, p, x in zip(asked, *(table.column(c).to_pylist() for c in ("counts", "alone", "contexts"))):
+            k, n = unpack_sorted(k), unpack_counts(n)
+            own = np.flatnonzero(n)
+            keys.append(k[own])
+            counts.append(n[own])
+            alone.append(np.frombuffer(p, np.uint8))
+            contexts.append(unpack_runs(x))
+        keys, counts, alone, contexts = (np.concatenate(x) for x in (keys, counts, alone, contexts))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        times = np.add.reduceat(counts[order], first) if len(keys) else counts
+        keys, one = keys[first], order[first]
+        smoothed = share * times / np.maximum(contexts[one], 1) + (1 - share) * dequantised(1 / normal)[alone[one]]
+        low = np.uint64((1 << bits) - 1)
+        trie = Trie(mapped(Trie.encode(keys >> np.uint64(bits), keys & low, quantise(np.minimum(smoothed, 1), least), bits)))
+        out = []
+        for x in asked:
+            q = unpack_sorted(x)
+            out.append(trie.lookup(q >> np.uint64(bits), q & low).tobytes())
+        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "answer": pa.array(out, pa.binary())})
+
+    def add_up(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        is_word = np.array(answers.column("level").to_pylist()) == 1
+        h, owner, c, before = known_words(texts, answers.filter(pa.array(is_word)))
+        codes = in_order(answers.filter(pa.array(~is_word)), as_codes)
+        code = codes[np.unique(pairs(h, owner, bits), return_inverse=True)[1]]
+        n = texts.num_rows
         alone = (c + 1) / normal
-        given = np.where(before > 0, share * joint[code] * total / np.maximum(before, 1) + (1 - share) * alone, alone)
+        given = np.where(code > 0, dequantised(least)[code], np.where(before > 0, (1 - share) * alone, alone))
         by_text = lambda x: np.bincount(owner, weights=x, minlength=n)
         return pa.table(
             {
@@ -245,10 +294,11 @@ def score(docs: DataFrame, learn: Column, share: float = SHARE) -> DataFrame:
                 "n_known": np.bincount(owner[c > 0], minlength=n),
                 "train_tokens": pa.array(np.full(n, total), pa.int64()),
                 "base_score": by_text(np.log10(alone)),
-                "score": by_text(np.log10(np.minimum(given, 1))),
+                "score": by_text(np.log10(given)),
             }
         )
 
-    trained = docs.where(learn).count()
-    replies = dealt.groupBy("block").applyInArrow(ask, "shard int, block int, keys binary, counts binary").groupBy("shard").applyInArrow(answer, "block int, shard int, answer binary")
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(add_up, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    asked = dealt.groupBy("block").cogroup(by_block).applyInArrow(ask_pairs, "shard int, block int, keys binary, counts binary, alone binary, contexts binary")
+    codes = asked.groupBy("shard").applyInArrow(answer_pairs, "block int, shard int, answer binary")
+    both = replies.select("block", "shard", "answer", F.lit(1).alias("level")).unionByName(codes.withColumn("level", F.lit(2)))
+    return dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(add_up, f"doc_id {id_type(docs)}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
