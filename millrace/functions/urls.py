@@ -179,6 +179,10 @@ def _first(url: Column, pattern: str, to: str) -> Column:
     return F.regexp_replace(url, f"(?s)^(.*?){pattern}", f"$1{to}")
 
 
+def _spaced_slash(url: Column, seed: Column) -> Column:
+    return F.when(F.contains(url.substr(F.lit(9), F.length(url)), F.lit("/")), _first(url, "/", " / ")).otherwise(url)
+
+
 _cut_fragment = lambda u, s: F.substring_index(u, "#", 1)
 
 #: name: (damage of (url, seed), difficulty 1 to 3).
@@ -187,8 +191,8 @@ CORRUPTIONS: dict[str, tuple[Callable[[Column, Column], Column], int]] = {
     "drop_www": (lambda u, s: _first(u, "(?i)://www\\.", "://"), 1),
     "sentence_punctuation": (lambda u, s: F.concat(u, _pick(s, "mark", *map(F.lit, ".,!?;:"))), 1),
     "markdown_wrapper": (lambda u, s: _pick(s, "wrap", F.concat(F.lit("`"), u, F.lit("`")), F.concat(F.lit("<"), u, F.lit(">")), F.concat(F.lit("["), u, F.lit("]")), F.concat(u, F.lit(".")), F.concat(F.lit('"'), u, F.lit('"'))), 1),
-    "whitespace": (lambda u, s: F.when(F.contains(u.substr(F.lit(9), F.length(u)), F.lit("/")), _first(u, "/", " / ")).otherwise(u), 1),
-    "newlines": (lambda u, s: _first(u, "(\\?[^&]*)&", "$2\n&"), 1),
+    "whitespace": (_spaced_slash, 1),
+    "newlines": (_spaced_slash, 1),
     "http_typo": (lambda u, s: F.when(u.startswith("https://"), F.regexp_replace(u, "^https://", "htps://")).otherwise(_first(u, "http://", "https:/")), 2),
     "uppercase_host": (lambda u, s: F.concat(F.regexp_extract(u, "(?s)^(.*?://)", 1), F.upper(F.regexp_extract(u, "(?s)^.*?://([^/?#]*)", 1)), F.regexp_replace(u, "(?s)^.*?://[^/?#]*", "")), 2),
     "double_slash": (_repeat_segment, 2),
@@ -210,9 +214,9 @@ QUERY_PRESERVING = ("drop_scheme", "drop_www", "sentence_punctuation", "markdown
 
 
 def difficulty(kinds: Column) -> Column:
-    """Of a list of damages: that of the hardest."""
+    """Of a list of damages: that of the hardest (1 for none)."""
     table = F.create_map(*[F.lit(x) for name, (_, hard) in CORRUPTIONS.items() for x in (name, hard)])
-    return F.array_max(F.transform(kinds, lambda k: table[k]))
+    return F.coalesce(F.array_max(F.transform(kinds, lambda k: table[k])), F.lit(1))
 
 
 def sample_kinds(seed: Column, names: tuple[str, ...], most: int = 3) -> Column:
@@ -233,16 +237,62 @@ def corrupt(url: Column, kinds: Column, seed: Column) -> Column:
     return F.aggregate(kinds, url, step)
 
 
-def make_url(seed: Column, stems: tuple[str, ...] = ("atlas", "beacon", "cobalt", "delta", "ember", "granite"), words: tuple[str, ...] = ("docs", "guide", "blog", "api", "v2", "faq")) -> Column:
-    """A synthetic canonical URL for a seed."""
+# What synthetic URLs are made of.
+SCHEMES = ("https", "http")
+DOMAINS = ("com", "org", "net", "io", "dev", "co", "ai", "app", "edu", "gov")
+SUBDOMAINS = ("www", "docs", "blog", "api", "cdn", "static", "mail", "shop", "status")
+STEMS = (
+    "atlas meridian northwind lumen quarry beacon cobalt delta ember fathom granite harbor indigo juniper kestrel lantern "
+    "monsoon nimbus orchard pinnacle quartz ridge summit tundra umber vertex willow xenon yarrow zephyr basalt cinder"
+).split()
+PATH_WORDS = (
+    "docs guide pricing blog 2024 2025 release notes api v1 v2 reference tutorial changelog about careers legal privacy "
+    "terms status download install setup config faq"
+).split()
+QUERY_KEYS = ("utm_source", "utm_medium", "utm_campaign", "id", "ref", "page", "q", "lang")
+QUERY_VALUES = ("newsletter", "email", "twitter", "docs", "2", "7", "en", "en-GB", "summary")
+FRAGMENTS = ("intro", "installation", "faq", "usage", "examples", "top")
+PORTS = (":8000", ":8080", ":3000", ":5000")
+
+
+def make_parts(seed: Column) -> Column:
+    """A struct of scheme, host, port, path, query (with its ``?``, or empty) and fragment (with its ``#``) for a seed."""
     chance = lambda salt, pct: draw(seed, salt) % 100 < pct
     pick = lambda salt, options: _pick(seed, salt, *map(F.lit, options))
-    host = F.concat_ws(".", F.when(~chance("bare", 15), pick("sub", ("www", "docs", "blog", "api", "cdn"))), pick("stem", stems), pick("tld", ("com", "org", "net", "io", "dev")))
-    port = F.when(chance("port", 15), pick("which", (":8000", ":8080", ":3000", ":5000"))).otherwise("")
+    host = F.concat_ws(".", F.when(~chance("bare", 15), pick("sub", SUBDOMAINS)), pick("stem", STEMS), pick("domain", DOMAINS))
     depth = (1 + draw(seed, "depth") % 3).cast("int")
-    path = F.concat(F.lit("/"), F.array_join(F.slice(F.array(*[pick(f"path{i}", words) for i in range(3)]), F.lit(1), depth), "/"))
-    tail = F.when(chance("tail", 25), F.concat(F.lit("/"), F.lower(F.hex(draw(seed, "code") % 65536)))).otherwise("")
-    pair = lambda i: F.concat(pick(f"key{i}", ("id", "lang", "page", "q", "ref", "utm_source")), F.lit("="), pick(f"value{i}", ("2", "7", "docs", "email", "en", "summary")))
-    query = F.when(chance("query", 55), F.concat(F.lit("?"), F.array_join(F.array_sort(F.slice(F.array(pair(0), pair(1), pair(2)), F.lit(1), (1 + draw(seed, "pairs") % 3).cast("int"))), "&"))).otherwise("")
-    fragment = F.when(chance("fragment", 30), F.concat(F.lit("#"), pick("name", ("intro", "usage", "faq", "top")))).otherwise("")
-    return F.concat(pick("scheme", ("https", "http")), F.lit("://"), host, port, path, tail, query, fragment)
+    path = F.concat(F.lit("/"), F.array_join(F.slice(F.array(*[pick(f"path{i}", PATH_WORDS) for i in range(3)]), F.lit(1), depth), "/"))
+    tail = F.when(chance("tail", 25), F.concat(F.lit("/"), F.lower(F.hex(4096 + draw(seed, "code") % 61440)))).otherwise("")
+    pair = lambda i: F.concat(pick(f"key{i}", QUERY_KEYS), F.lit("="), pick(f"value{i}", QUERY_VALUES))
+    pairs = F.array_sort(F.slice(F.array(pair(0), pair(1), pair(2)), F.lit(1), (1 + draw(seed, "pairs") % 3).cast("int")))
+    return F.struct(
+        pick("scheme", SCHEMES).alias("scheme"),
+        host.alias("host"),
+        F.when(chance("port", 15), pick("which", PORTS)).otherwise("").alias("port"),
+        F.concat(path, tail).alias("path"),
+        F.when(chance("query", 55), F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise("").alias("query"),
+        F.when(chance("fragment", 30), F.concat(F.lit("#"), pick("name", FRAGMENTS))).otherwise("").alias("fragment"),
+    )
+
+
+def joined(p: Column) -> Column:
+    """The URL of a struct of parts."""
+    return F.concat(p["scheme"], F.lit("://"), p["host"], p["port"], p["path"], p["query"], p["fragment"])
+
+
+def make_url(seed: Column) -> Column:
+    """A synthetic canonical URL for a seed."""
+    return let(make_parts(seed), joined)
+
+
+def landed(url: Column, kinds: Column) -> Column:
+    """Of a list of damages, those that alone change the URL (with draws of their own that are always the same)."""
+    zero = F.lit(0).cast("long")
+
+    def changes(kind: Column) -> Column:
+        out = F.lit(False)
+        for name, (damage, _) in CORRUPTIONS.items():
+            out = F.when(kind == name, damage(url, zero) != url).otherwise(out)
+        return out
+
+    return F.filter(kinds, changes)

@@ -46,9 +46,13 @@ def skipped(verdicts: DataFrame, runs: DataFrame, tasks: DataFrame) -> DataFrame
 
 
 def stats(samples: DataFrame) -> DataFrame:
-    """Sizes of the samples by split and strategy."""
-    mean = lambda c: F.round(F.avg(c), 1).alias(f"avg_{c}")
-    return samples.groupBy("split", "windowing").agg(F.count("*").alias("n"), mean("n_steps"), F.max("n_steps").alias("max_steps"), mean("chars"), mean("trainable_chars"), mean("tool_call_chars"), F.countDistinct("prompt_hash").alias("unique_prompts"))
+    """Sizes of the samples by split and strategy, and how many there are of each variant (a map)."""
+    mean = lambda c, digits=1: F.round(F.avg(c), digits).alias(f"avg_{c}")
+    wide = samples.select("split", "windowing", "n_steps", "chars", "trainable_chars", "tool_call_chars", "prompt_hash", "variant")  # segments are not needed
+    totals = wide.groupBy("split", "windowing").agg(F.count("*").alias("n"), mean("n_steps", 2), F.max("n_steps").alias("max_steps"), mean("chars"), mean("trainable_chars"), mean("tool_call_chars"), F.countDistinct("prompt_hash").alias("unique_prompts"))
+    counted = wide.where("variant is not null").groupBy("split", "windowing", "variant").agg(F.count("*").alias("k"))
+    variants = counted.groupBy("split", "windowing").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("variant", "k")))).alias("by_variant"))
+    return totals.join(variants, ["split", "windowing"], "left")
 
 
 def write(samples: DataFrame, path: str) -> None:

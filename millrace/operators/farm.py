@@ -24,6 +24,18 @@ def temperature(base: float, sample_idx: Column) -> Column:
     return F.round(F.least(F.greatest(F.lit(base) + (sample_idx % 5 - 2) * 0.05, F.lit(0.0)), F.lit(2.0)), 2)
 
 
+def hidden_items(messages: Column) -> Column:
+    """How many items the first user turn that says so hides (0 if none does)."""
+    said = F.transform(F.filter(messages, lambda m: m["role"] == "user"), lambda m: F.regexp_extract(F.coalesce(m["content"], F.lit("")), r"(?:DOCUMENT|PROPOSITIONS|CANDIDATES):\s*(\d+)", 1))
+    return F.coalesce(F.get(F.filter(said, lambda x: x != ""), 0).cast("int"), F.lit(0))
+
+
+def asked_about(messages: Column) -> Column:
+    """What the last user turn that says so asks about: hypothesis, claim or damaged URL (empty if none does)."""
+    said = F.transform(F.filter(messages, lambda m: m["role"] == "user"), lambda m: F.trim(F.regexp_extract(F.coalesce(m["content"], F.lit("")), r"(?:HYPOTHESIS|CLAIM|DAMAGED URL):\s*(.+)", 1)))
+    return F.coalesce(F.try_element_at(F.filter(said, lambda x: x != ""), F.lit(-1)), F.lit(""))
+
+
 def requested(indices: Column, budget: Column) -> Column:
     """Indices asked for in a turn: the first of each, as many as the budget has."""
     return F.slice(F.array_distinct(indices), F.lit(1), F.greatest(budget, F.lit(0)))

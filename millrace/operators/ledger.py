@@ -54,10 +54,15 @@ def efficiency(ledger: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
 
 
-def by_run(ledger: DataFrame) -> DataFrame:
-    """Requests of each run in order of attempt."""
+#: Attempts of a run in one row of by_run.
+PAGE = 1000
+
+
+def by_run(ledger: DataFrame, page: int = PAGE) -> DataFrame:
+    """Requests of each run in order of attempt, in pages: the attempts from ``page`` times ``page_no`` on. A run of any
+    length thus never meets in one task."""
     row = F.struct("attempt", "ts", "tokens", "cost_usd", "latency_s", "error")
-    return ledger.groupBy("run_id").agg(F.array_sort(F.collect_list(row)).alias("requests"))
+    return ledger.groupBy("run_id", F.floor(F.col("attempt") / page).alias("page_no")).agg(F.array_sort(F.collect_list(row)).alias("requests"))
 
 
 def over_cap(requests: Column, tokens: Column, usd: Column, max_requests: int, max_tokens: int, max_usd: float = 0) -> Column:

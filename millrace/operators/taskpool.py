@@ -57,58 +57,80 @@ def premise_negations(rows: DataFrame) -> DataFrame:
 
 def best_match(queries: DataFrame, donors: DataFrame, least: float = LEAST_LIKENESS) -> DataFrame:
     """q_id, d_id, score: for every query (q_id, q_text) the donor (d_id, d_text) whose words are most alike, ties to the
-    smaller d_id, if at least ``least``.
+    smaller d_id, if at least ``least``. With a column ``own`` on both sides, donors whose ``own`` is the query's are no
+    donors.
 
-    Pairs without a common word score 0 and never count, so pairs are met through their words. Of a query's words only
-    the rarest are needed: with a likeness of at least ``least`` the sets share ceil(least * size) words, so one of the
-    size - ceil(least * size) + 1 rarest of each side is shared. Frequent words thus never bring rows together.
+    Pairs without a common word score 0 and never count, so pairs are met through their words: shared words are counted
+    by pair, before the shuffle where they can be, and give the likeness with the two sizes. Sizes that rule a likeness
+    of ``least`` out are left before. A frequent word brings many rows together; AQE splits it where it is too many.
     """
-    q = queries.select("q_id", word_set(F.col("q_text")).alias("words"))
-    d = donors.select("d_id", word_set(F.col("d_text")).alias("words"))
-    spread = lambda df, key: df.select(key, "words", F.explode("words").alias("w"))
-    often = spread(q, "q_id").select("w").unionAll(spread(d, "d_id").select("w")).groupBy("w").agg(F.count("*").alias("often"))
-
-    def prefixed(df: DataFrame, key: str) -> DataFrame:
-        order = F.array_sort(F.collect_list(F.struct("often", "w")))
-        ranked = spread(df, key).join(often, "w").groupBy(key).agg(order.alias("o"))
-        size = F.size("o")
-        keep = size - F.ceil(size * least - 1e-9).cast("int") + 1
-        return ranked.select(key, F.transform("o", lambda x: x["w"]).alias("all"), F.explode(F.transform(F.slice("o", F.lit(1), keep), lambda x: x["w"])).alias("w"))
-
-    a = prefixed(q, "q_id").withColumnRenamed("all", "q_words")
-    b = prefixed(d, "d_id").withColumnRenamed("all", "d_words")
-    pairs = a.join(b, "w").select("q_id", "d_id", jaccard(F.col("q_words"), F.col("d_words")).alias("score")).where(F.col("score") >= least)
-    best = pairs.groupBy("q_id").agg(F.max(F.struct(F.col("score"), (-F.col("d_id")).alias("n"))).alias("b"))
-    return best.select("q_id", (-F.col("b.n")).alias("d_id"), F.col("b.score").alias("score"))
+    guarded = ["own"] if "own" in queries.columns and "own" in donors.columns else []
+    spread = lambda df, key, text, p: df.select(key, *[F.col(c).alias(f"{p}_{c}") for c in guarded], word_set(F.col(text)).alias("words")).select(key, *[f"{p}_{c}" for c in guarded], F.size("words").alias(f"{p}_size"), F.explode("words").alias("w"))
+    q, d = spread(queries, "q_id", "q_text", "q"), spread(donors, "d_id", "d_text", "d")
+    met = q.join(d, "w").where(F.least("q_size", "d_size") >= least * F.greatest("q_size", "d_size"))
+    for c in guarded:
+        met = met.where(F.col(f"q_{c}") != F.col(f"d_{c}"))
+    shared = met.groupBy("q_id", "d_id", "q_size", "d_size").agg(F.count(F.lit(1)).alias("n"))
+    scored = shared.select("q_id", "d_id", (F.col("n") / (F.col("q_size") + F.col("d_size") - F.col("n"))).alias("score")).where(F.col("score") >= least)
+    best = scored.groupBy("q_id").agg(F.max("score").alias("score"), F.min_by("d_id", F.struct(-F.col("score"), F.col("d_id"))).alias("d_id"))
+    return best.select("q_id", "d_id", "score")
 
 
 def distractors(rows: DataFrame, donors: DataFrame) -> DataFrame:
-    """Short premises with the most alike unit of a donor that is not entailed added at the end; the label stays."""
+    """Short premises with the most alike unit of a donor of another premise, that is not entailed, added at the end; the
+    label stays."""
     short = rows.where(F.size(split_units(F.col("premise"))) <= TRAP_UNITS - 1)
-    last = donors.where("label <> 'entailed'").select(F.col("source_id").alias("d_id"), F.element_at(split_units(F.col("premise")), -1).alias("d_text"), F.col("premise").alias("d_premise"))
-    best = best_match(short.select(F.col("source_id").alias("q_id"), F.col("hypothesis").alias("q_text")), last)
-    joined = short.join(best, short.source_id == best.q_id).join(last, "d_id").where("d_premise <> premise")
+    last = donors.where("label <> 'entailed'").select(F.col("source_id").alias("d_id"), F.element_at(split_units(F.col("premise")), -1).alias("d_text"), F.col("premise").alias("own"))
+    best = best_match(short.select(F.col("source_id").alias("q_id"), F.col("hypothesis").alias("q_text"), F.col("premise").alias("own")), last)
+    joined = short.join(best, short.source_id == best.q_id).join(last.drop("own"), "d_id")
     return joined.withColumn("premise", F.concat_ws(" ", "premise", "d_text")).withColumn("prompt_variant", F.lit("distractor")).withColumn("origin", F.lit("synth")).select(*rows.columns, "prompt_variant", "origin")
 
 
+TRAPS = ("negation_flip", "premise_negation", "distractor")
+
+
+def deal_traps(rows: DataFrame, donors: DataFrame, n: int) -> DataFrame:
+    """source_id, trap: rows (with seed) in the order of their seeds, each made into the trap whose turn it is if it can
+    be; the turn goes on only then, until ``n`` are dealt. A sampling step over as many rows as a manifest may have."""
+    good = distractors(rows.drop("seed"), donors.drop("seed")).select("source_id").withColumn("alike", F.lit(True))
+    short = F.size(split_units(F.col("premise"))) <= TRAP_UNITS
+    can = rows.join(good, "source_id", "left").select("seed", "source_id", F.array(F.col("label") == "entailed", short, F.coalesce("alike", F.lit(False))).alias("can"))
+    listed = can.agg(F.array_sort(F.collect_list(F.struct("seed", "source_id", "can"))).alias("rows"))
+    kind = rows.schema["source_id"].dataType.simpleString()
+    start = F.struct(F.lit(0).alias("made"), F.array().cast(f"array<struct<source_id:{kind},trap:string>>").alias("out"))
+
+    def step(a: Column, r: Column) -> Column:
+        turn = a["made"] % len(TRAPS)
+        ok = (a["made"] < n) & F.get(r["can"], turn)
+        one = F.array(F.struct(r["source_id"].alias("source_id"), F.get(F.array(*map(F.lit, TRAPS)), turn).alias("trap")))
+        return F.struct((a["made"] + ok.cast("int")).alias("made"), F.when(ok, F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
+
+    return listed.select(F.explode(F.aggregate("rows", start, step)["out"]).alias("d")).select("d.*")
+
+
 def nli_manifest(rows: DataFrame, salt: str, n_tasks: int, synth_fraction: float = 0.4, eval_pct: int = 20) -> DataFrame:
-    """Base and adversarial tasks. Which trap a row is made into is drawn from its seed, not dealt in turns."""
-    good = usable(rows).withColumn("seed", stable_seed(salt, json_string(F.col("premise")), json_string(F.col("hypothesis"))))
+    """Base and adversarial tasks of rows (source_id, premise, hypothesis, label).
+
+    Of the usable rows the first 4 n_tasks by source_id count, in the order of their seeds: the first ones become base
+    tasks, the others are dealt into traps (``deal_traps``) and are the donors of distractors.
+    """
     n_synth = round(n_tasks * synth_fraction)
-    base = good.orderBy("seed").limit(n_tasks - n_synth)  # a sampling operator: its size is the feature
-    donors = good.join(base.select("source_id"), "source_id", "left_anti")
-    donors = good if donors.isEmpty() else donors
-    trap = draw(F.col("seed"), "trap") % 3
+    pool = usable(rows).orderBy("source_id").limit(4 * n_tasks)  # a sampling operator: its size is the feature
+    good = pool.withColumn("seed", stable_seed(salt, json_string(F.col("premise")), json_string(F.col("hypothesis"))))
+    base = good.orderBy("seed", "source_id").limit(n_tasks - n_synth)
+    rest = good.join(base.select("source_id"), "source_id", "left_anti").select(*good.columns)
+    dealt = deal_traps(rest, rest, n_synth)
+    trapped = rest.join(dealt, "source_id")
     plain = base.drop("seed").withColumn("prompt_variant", F.lit("base")).withColumn("origin", F.lit("base"))
-    pick = lambda k: base.where(trap == k).drop("seed")
-    synth = negation_flips(pick(0)).unionByName(premise_negations(pick(1))).unionByName(distractors(pick(2), donors.drop("seed"))).limit(n_synth)
-    return make_tasks(plain.unionByName(synth), salt, eval_pct)
+    pick = lambda k: trapped.where(F.col("trap") == TRAPS[k]).select(*rows.columns)
+    synth = negation_flips(pick(0)).unionByName(premise_negations(pick(1))).unionByName(distractors(pick(2), rest.select(*rows.columns)))
+    return make_tasks(plain.select(*rows.columns, "prompt_variant", "origin").unionByName(synth), salt, eval_pct)
 
 
-def claim_schedule(articles: DataFrame, salt: str) -> DataFrame:
-    """A row for each fact (article_id, facts): whether its claim is to hold, and by which transform."""
-    positive = ("identity", "restate", "conjunction")
-    negative = ("negation", "entity_swap", "scope_overreach", "broken_conjunction")
+def claim_schedule(articles: DataFrame, salt: str, variants: tuple[str, ...] = tuple(claims.TRANSFORMS)) -> DataFrame:
+    """A row for each fact (article_id, facts): whether its claim is to hold, and by which of the transforms."""
+    positive = tuple(v for v in variants if claims.TRANSFORMS[v][1] == "entailed")
+    negative = tuple(v for v in variants if v not in positive)
     facts = articles.where(F.size("facts") >= 4).select("article_id", "facts", F.posexplode("facts").alias("index", "fact"))
     seeded = facts.withColumn("seed", stable_seed(salt, json_string(F.col("article_id")), F.col("index").cast("string"), "pos"))
     holds = F.col("seed") % 1000 < 500
@@ -116,11 +138,10 @@ def claim_schedule(articles: DataFrame, salt: str) -> DataFrame:
     return seeded.withColumn("variant", F.when(holds, variant(positive)).otherwise(variant(negative)))
 
 
-def claim_tasks(articles: DataFrame, salt: str, eval_pct: int = 20, n_tasks: int | None = None) -> DataFrame:
-    """Tasks over claims from facts of articles (article_id, facts): all, or the first ``n_tasks`` by article and fact."""
-    rows = claim_schedule(articles, salt)
-    if n_tasks is not None:
-        rows = rows.orderBy("article_id", "index").limit(n_tasks)
+def claim_tasks(articles: DataFrame, salt: str, eval_pct: int = 20, n_tasks: int | None = None, variants: tuple[str, ...] = tuple(claims.TRANSFORMS)) -> DataFrame:
+    """Tasks over claims from facts of articles (article_id, facts): all different ones, or of these the first
+    ``n_tasks`` by article and fact."""
+    rows = claim_schedule(articles, salt, variants)
     n = F.size("facts")
     other = F.get("facts", F.pmod(F.col("index") + 1 + (draw(F.col("seed"), "other") % (n - 1)).cast("int"), n))
     claim = label = F.lit(None).cast("string")
@@ -134,34 +155,69 @@ def claim_tasks(articles: DataFrame, salt: str, eval_pct: int = 20, n_tasks: int
     support = F.when(both, F.array(F.array_position("ranked", F.col("fact")) - 1, F.array_position("ranked", F.col("other")) - 1)).otherwise(F.array(F.array_position("ranked", F.col("fact")) - 1))
     named = ranked.withColumn("task_id", content_id(canonical_json(kind=F.lit("legal"), claim=F.col("claim"), article_id=F.col("article_id"), evidence=F.col("evidence"))))
     out = named.select("task_id", F.lit("legal").alias("kind"), F.lit("legal").alias("origin"), split_of(F.col("task_id"), salt, eval_pct).alias("split"), F.col("variant").alias("prompt_variant"), F.col("applied").alias("transform_applied"), "article_id", F.col("index").alias("source_index"), F.col("claim").alias("hypothesis"), "claim", "label", support.alias("support_positions"), F.size("evidence").alias("n_units"), "evidence")
-    return first_of(out, ["task_id"], ["article_id", "source_index"])
+    different = first_of(out, ["task_id"], ["article_id", "source_index"])
+    return different if n_tasks is None else different.orderBy("article_id", "source_index").limit(n_tasks)
 
 
-def near_miss(url: Column, seed: Column) -> Column:
-    """Another URL on the host of ``url`` (40 of 100), with its path (30), or unlike it (30)."""
-    host, rest = r"^([a-z]+://[^/]+)", r"^[a-z]+://[^/]+(.*)$"
+def near_miss(own: Column, seed: Column) -> Column:
+    """Another URL than that of the parts: on its scheme, host and port (40 of 100), with its path and fragment (30), or
+    unlike it (30)."""
     kind = draw(seed, "kind") % 100
-    made = lambda other: F.when(kind < 40, F.concat(F.regexp_extract(url, host, 1), F.regexp_extract(other, rest, 1))).when(kind < 70, F.concat(F.regexp_extract(other, host, 1), F.regexp_extract(url, rest, 1))).otherwise(other)
-    return let(urls.make_url(seed), made)
-
-
-def url_tasks(spark, n: int, salt: str, variant: str = "pick", eval_pct: int = 20, tries: int = 12, near: int = 5) -> DataFrame:
-    """Tasks of damaged URLs with candidates. A damage that the canonical form undoes is drawn again, up to ``tries``."""
-    names = urls.QUERY_PRESERVING if variant == "compose" else tuple(k for k, (_, hard) in urls.CORRUPTIONS.items() if variant != "pick_hard" or hard == 3)
-    base = spark.range(n).select("id", stable_seed(salt, variant, F.col("id").cast("string")).alias("seed"))
-    made = base.withColumn("url", urls.make_url(F.col("seed"))).withColumn("donor", urls.make_url(draw(F.col("seed"), "donor")))
-    gold = urls.compose(F.col("url"), F.col("donor")) if variant == "compose" else F.col("url")
-    others = F.array(*[near_miss(F.col("url"), draw(F.col("seed"), f"near{i}")) for i in range(near)])
-    made = made.withColumn("gold_url", gold).withColumn("candidates", F.array_distinct(F.concat(F.array("url"), F.when(F.lit(variant == "compose"), F.array("donor")).otherwise(F.array().cast("array<string>")), others)))
-    tried = made.select("*", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("attempt")).withColumn("draw", draw(F.col("seed"), "try") + F.col("attempt"))
-    tried = tried.withColumn("corruptions", urls.sample_kinds(F.col("draw"), names)).withColumn("broken", urls.corrupt(F.col("gold_url"), F.col("corruptions"), F.col("draw")))
-    damaged = tried.where(urls.normalize(F.col("broken")) != urls.normalize(F.col("gold_url")))
-    first = damaged.groupBy("id").agg(F.min_by(F.struct("gold_url", "broken", "corruptions", "candidates", "seed"), "attempt").alias("r")).select("id", "r.*")
-    if variant == "compose":
-        first = first.where(~F.array_contains("candidates", F.col("gold_url")))
-    order = F.array_sort(F.transform("candidates", lambda c: F.struct((-urls.relevance(F.col("broken"), c)).alias("o"), c.alias("c"))))
-    listed = first.withColumn("evidence", evidence(F.transform(order, lambda x: x["c"])))
-    named = listed.withColumn("task_id", content_id(canonical_json(kind=F.lit("url"), broken=F.col("broken"), gold_url=F.col("gold_url"), evidence=F.col("evidence"))))
+    take = lambda other, *names: F.struct(*[(own if k in names else other)[k].alias(k) for k in ("scheme", "host", "port", "path", "query", "fragment")])
+
+    def made(other: Column) -> Column:
+        return F.when(kind < 40, urls.joined(take(other, "scheme", "host", "port"))).when(kind < 70, urls.joined(take(other, "path", "fragment"))).otherwise(urls.joined(other))
+
+    return let(urls.make_parts(seed), made)
+
+
+def order_candidates(damaged: Column, candidates: Column, seed: Column) -> Column:
+    """Candidates by how like they are to the damaged URL, then by text; the first three then lie in a drawn order, so the
+    place of the answer says nothing."""
+    scored = F.array_sort(F.transform(candidates, lambda c: F.struct((-urls.relevance(damaged, c)).alias("o"), c.alias("c"))))
+
+    def dealt(ranked: Column) -> Column:
+        head = F.array_sort(F.transform(F.slice(ranked, 1, 3), lambda x, i: F.struct(stable_seed(seed.cast("string"), "head", i.cast("string")).alias("o"), x["c"].alias("c"))))
+        tail = F.slice(ranked, F.lit(4), F.greatest(F.size(ranked), F.lit(1)))
+        return F.concat(F.transform(head, lambda x: x["c"]), F.transform(tail, lambda x: x["c"]))
+
+    return let(scored, dealt)
+
+
+def url_tasks(spark, n: int, salt: str, variant: str = "pick", eval_pct: int = 20, tries: int = 12, shard: int = 0, shards: int = 1) -> DataFrame:
+    """Tasks of damaged URLs with candidates: ``pick`` (among three near misses), ``pick_hard`` (hard damages only) and
+    ``compose``.
+
+    A damage that the canonical form undoes is drawn again, up to ``tries``; corruptions and difficulty count the damages
+    that alone change the URL. In ``compose`` the base is damaged, the answer is its location with the query of a donor
+    that has one, and stands nowhere among the candidates: base, donor and two near misses. Of several shards, one makes
+    the ids that fall on it.
+    """
+    composed = variant == "compose"
+    names = urls.QUERY_PRESERVING if composed else tuple(k for k, (_, hard) in urls.CORRUPTIONS.items() if variant != "pick_hard" or hard == 3)
+    ids = spark.range(shard, n, shards)
+    base = ids.select("id", stable_seed(salt, variant, F.col("id").cast("string")).alias("seed")).withColumn("own", F.array(urls.make_parts(F.col("seed"))))
+    made = base.select("id", "seed", F.explode("own").alias("own")).withColumn("url", urls.joined(F.col("own")))
+    near = [near_miss(F.col("own"), draw(F.col("seed"), f"near{i}")) for i in range(2 if composed else 3)]
+    if composed:
+        donors = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: urls.make_parts(draw(F.col("seed"), "donor") + i))
+        with_query = F.filter(donors, lambda p: p["query"] != "")
+        made = made.withColumn("donors", F.array(F.coalesce(F.get(with_query, 0), F.element_at(donors, -1)))).select("*", F.explode("donors").alias("donor_parts")).drop("donors")
+        made = made.withColumn("donor", urls.joined(F.col("donor_parts"))).withColumn("gold_url", urls.compose(F.col("url"), F.col("donor")))
+        listed = F.array("url", "donor", *near)
+    else:
+        made = made.withColumn("gold_url", F.col("url"))
+        listed = F.array("url", *near)
+    made = made.withColumn("candidates", F.array_distinct(listed)).select("id", "seed", "url", "gold_url", "candidates")
+    tried = made.select("id", "seed", "url", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("attempt")).withColumn("draw", draw(F.col("seed"), "try") + F.col("attempt"))
+    tried = tried.withColumn("kinds", urls.sample_kinds(F.col("draw"), names)).withColumn("broken", urls.corrupt(F.col("url"), F.col("kinds"), F.col("draw")))
+    damaged = tried.where(urls.normalize(F.col("broken")) != urls.normalize(F.col("url")))
+    first = damaged.groupBy("id").agg(F.min(F.struct("attempt", "broken", "kinds")).alias("r")).select("id", "r.broken", "r.kinds")
+    whole = first.join(made, "id")
+    if composed:
+        whole = whole.where(~F.array_contains("candidates", F.col("gold_url")))
+    ordered = whole.withColumn("evidence", evidence(order_candidates(F.col("broken"), F.col("candidates"), F.col("seed")))).withColumn("corruptions", urls.landed(F.col("url"), F.col("kinds")))
+    named = ordered.withColumn("task_id", content_id(canonical_json(kind=F.lit("url"), broken=F.col("broken"), gold_url=F.col("gold_url"), evidence=F.col("evidence"))))
     return named.select("task_id", F.lit("url").alias("kind"), F.lit("url").alias("origin"), split_of(F.col("task_id"), salt, eval_pct).alias("split"), F.lit(variant).alias("prompt_variant"), F.col("id").cast("string").alias("source_id"), F.col("broken").alias("hypothesis"), "broken", "gold_url", F.col("gold_url").alias("label"), "corruptions", urls.difficulty(F.col("corruptions")).alias("difficulty"), F.size("evidence").alias("n_units"), "evidence")
 
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+# Special tokens, the token pattern, and the signs that stand without a space before or after.
 SPECIALS = ("<|pad|>", "<|im_start|>", "<|im_end|>")
 PATTERN = r"<\|[^|<>]*\|>|\n|[A-Za-z]+(?:'[A-Za-z]+)?|\d+|[^\sA-Za-z\d]"
 NO_SPACE_BEFORE, NO_SPACE_AFTER = ")]}(,.:;!?_\n", "([{_\n"
@@ -24,10 +30,34 @@ def build(texts: DataFrame, text: str = "text", max_vocab: int = 8000, min_count
 
 
 def encode(texts: DataFrame, vocab: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, ids: tokens that the vocabulary does not have are left out. The vocabulary has at most max_vocab rows."""
-    spread = texts.select(key, F.posexplode(tokens(F.col(text))).alias("pos", "token")).join(F.broadcast(vocab), "token")
-    ids = spread.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
-    return texts.select(key).join(ids, key, "left").select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    """key, ids of every row: tokens that the vocabulary does not have are left out, a null text has no ids.
+
+    Narrow: texts stay where they are and are cut in Arrow batches; the vocabulary, at most max_vocab rows, goes along.
+    """
+    ids = {r.token: r.id for r in vocab.collect()}
+    pattern = re.compile(PATTERN, re.ASCII)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [[ids[t] for t in pattern.findall(x or "") if t in ids] for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], [key, "ids"])
+
+    return texts.select(key, text).mapInArrow(run, StructType([texts.schema[key], StructField("ids", ArrayType(IntegerType()))]))
+
+
+def trainable(encoded: DataFrame, context: int) -> DataFrame:
+    """Encoded rows cut to the context, without those of fewer than two tokens: they predict nothing."""
+    cut = encoded.withColumns({c: truncated(F.col(c), context) for c in ("ids", "mask") if c in encoded.columns})
+    return cut.where(F.size("ids") > 1)
+
+
+def write_vocabulary(vocab: DataFrame, path: str) -> None:
+    """Writes the tokens as JSON lines in the order of their ids."""
+    vocab.select("id", "token").coalesce(1).sortWithinPartitions("id").write.mode("overwrite").json(path)
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id int, token string").json(path).select("token", "id")
 
 
 def encode_segments(samples: DataFrame, vocab: DataFrame, key: str, segments: str = "segments", kinds: tuple[str, ...] | None = None) -> DataFrame:
@@ -35,7 +65,9 @@ def encode_segments(samples: DataFrame, vocab: DataFrame, key: str, segments: st
     wanted = F.col("s.trainable") if kinds is None else F.col("s.trainable") & F.col("s.kind").isin(*kinds)
     spread = samples.select(key, F.posexplode(segments).alias("part", "s")).select(key, "part", wanted.cast("int").alias("mask"), F.posexplode(tokens(F.col("s.text"))).alias("pos", "token")).join(F.broadcast(vocab), "token")
     rows = F.array_sort(F.collect_list(F.struct("part", "pos", "id", "mask")))
-    return spread.groupBy(key).agg(rows.alias("r")).select(key, F.transform("r", lambda x: x["id"]).alias("ids"), F.transform("r", lambda x: x["mask"]).alias("mask"))
+    found = spread.groupBy(key).agg(rows.alias("r")).select(key, F.transform("r", lambda x: x["id"]).alias("ids"), F.transform("r", lambda x: x["mask"]).alias("mask"))
+    none = F.array().cast("array<int>")  # a sample of unknown tokens only
+    return samples.select(key).join(found, key, "left").select(key, F.coalesce("ids", none).alias("ids"), F.coalesce("mask", none).alias("mask"))
 
 
 def decode(words: Column) -> Column:

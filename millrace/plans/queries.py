@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +21,13 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path where driver and executors share: under spark.checkpoint.dir, or where it is unset, as in
+    tests, under the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def query(sql: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -306,7 +313,7 @@ def nli_tasks(spark, d):
 
 @query()
 def url_tasks(spark, d):
-    return taskpool.url_tasks(spark, 200, "url").unionByName(taskpool.url_tasks(spark, 100, "url", "compose")).unionByName(taskpool.url_tasks(spark, 100, "url", "pick_hard"))
+    return taskpool.url_manifest(spark, table(spark, d, "pages").count(), "url")
 
 
 @query(f"""WITH q AS (SELECT item_id AS q_id, {_word_set('text')} AS a FROM benchmark), {_UNITS}, dn AS (SELECT doc_id AS d_id, {_word_set('units[1]')} AS b FROM units), p AS (SELECT q_id, d_id, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS score FROM q, dn)
@@ -352,8 +359,8 @@ def url_support(spark, d):
 
 @query()
 def corruption_top(spark, d):
-    """The twelve most frequent damages of the URL tasks."""
-    return taskpool.url_tasks(spark, 500, "top").select(F.explode("corruptions").alias("corruption")).groupBy("corruption").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "corruption").limit(12)
+    """The twelve most frequent damages of the URL tasks, one for each page."""
+    return metrics.top_damages(taskpool.url_tasks(spark, table(spark, d, "pages").count(), "top"))
 
 
 _LEDGER = "ledger AS (SELECT 'run' || (user_id % 50) AS run_id, floor(abs(value) * 10)::BIGINT AS prompt_tokens, event_id % 100 AS completion_tokens, floor(abs(value) * 10)::BIGINT + event_id % 100 AS tokens, floor(abs(value) * 1000) / 1000000 AS cost_usd, floor(abs(value) * 100) / 1000 AS latency_s, event_type = 'error' AS bad, user_id % 50 % 3 = 0 AS good FROM events)"
@@ -373,7 +380,8 @@ def ledger_efficiency(spark, d):
 @query(f"WITH {_LEDGER} SELECT run_id, count(*) AS n, sum(tokens)::BIGINT AS tokens FROM ledger GROUP BY run_id")
 def ledger_by_run(spark, d):
     g = ledger.by_run(adapters.ledger(spark, d))
-    return g.select("run_id", F.size("requests").cast("long").alias("n"), F.aggregate("requests", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("tokens"))
+    pages = g.select("run_id", F.size("requests").alias("n"), F.aggregate("requests", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("tokens"))
+    return pages.groupBy("run_id").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
 
 
 _RESULTS = "results AS (SELECT (['teacher', 'student', 'student_no_curriculum', 'heuristic'])[event_id % 4 + 1] AS contender, CASE WHEN event_type <> 'error' THEN event_type END AS variant, event_id % 4 <> 0 AS local, event_id % 7 < 3 AS passed, event_id % 7 < 4 AS label_correct, event_id % 5 < 4 AS called, event_id % 5 < 3 AS retrieved, CASE WHEN event_id % 7 < 3 THEN 'VERIFIED_OK' WHEN event_id % 2 = 0 THEN 'TEST_FAIL' ELSE 'FORMAT_INVALID' END AS reason_code, event_id % 6 + 1 AS steps, event_id % 1000 AS tokens, floor(abs(value) * 100) / 1000 AS latency_s, floor(abs(value) * 1000) / 1000000 AS cost_usd FROM events)"
@@ -474,10 +482,7 @@ def first_seen(spark, d):
 @query("SELECT DISTINCT event_id, event_type, user_id FROM events")
 def stream_ingest(spark, d):
     """A stream of the events, ids once, written until nothing is left and read back."""
-    out = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    import uuid
-
-    folder = f"{out}/ingest-{uuid.uuid4().hex}"
+    folder = scratch(spark, "ingest")
     source = table(spark, d, "events")
     rows = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     ingest(rows.select("event_id", "event_type", "user_id").dropDuplicates(["event_id"]), f"{folder}/rows", f"{folder}/state").awaitTermination()

@@ -115,7 +115,8 @@ def iter_tasks(tasks: DataFrame, split: str | None = None) -> DataFrame:
 
 
 def write_manifest(tasks: DataFrame, path: str) -> None:
-    tasks.repartition("split").sortWithinPartitions("split", "task_id").write.mode("overwrite").partitionBy("split").parquet(path)
+    """A folder of Parquet for each split, in order of task_id over its files; as many tasks write as rows need."""
+    tasks.repartitionByRange("split", "task_id").sortWithinPartitions("split", "task_id").write.mode("overwrite").partitionBy("split").parquet(path)
 
 
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,7 +1,11 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace import schemas
+from millrace.functions import urls
 from millrace.operators import dataset, farm, gate, ledger, metrics, render, report, taskpool, tokenizer, training, windowing
 from millrace.sources import records
 from millrace.streaming.ingest import ingest, record_stream
@@ -186,10 +190,83 @@ def test_url_manifest(spark):
     assert n["pick"] <= 12 and n["compose"] <= 4 and n["pick_hard"] <= 4 and sum(n.values()) >= 17
     assert {r.value for r in taskpool.manifest_summary(tasks).where("dimension = 'difficulty'").collect()} <= {"1", "2", "3"}
     seeds = spark.range(200).select(F.xxhash64("id").alias("seed")).withColumn("seed", F.abs("seed"))
-    url = "https://docs.atlas.com/guide/api?id=2"
-    near = [r[0] for r in seeds.select(taskpool.near_miss(F.lit(url), F.col("seed"))).collect()]
-    assert 50 <= sum(x.startswith("https://docs.atlas.com/") for x in near) <= 110
-    assert 30 <= sum(x.endswith("/guide/api?id=2") for x in near) <= 90
+    own = F.struct(*[F.lit(v).alias(k) for k, v in {"scheme": "https", "host": "docs.atlas.zz", "port": "", "path": "/guide/api", "query": "?id=2", "fragment": "#own"}.items()])
+    near = [r[0] for r in seeds.select(taskpool.near_miss(own, F.col("seed"))).collect()]
+    assert 50 <= sum(x.startswith("https://docs.atlas.zz/") for x in near) <= 110
+    assert 30 <= sum("/guide/api" in x and x.endswith("#own") for x in near) <= 90
+    rows = tasks.collect()
+    for r in rows:
+        texts = [e.text for e in r.evidence]
+        assert (r.gold_url in texts) == (r.prompt_variant != "compose") and len(texts) == len(set(texts)) <= 4
+        assert r.prompt_variant != "pick_hard" or r.difficulty in (1, 3)
+    first = [[e.text for e in r.evidence].index(r.gold_url) for r in taskpool.url_tasks(spark, 60, "places").collect()]
+    assert len(set(first)) >= 3  # the answer is not always first
+    compose = taskpool.url_tasks(spark, 30, "c", "compose").collect()
+    assert all("?" in r.gold_url and "ref=combined" not in r.gold_url and r.broken != r.gold_url for r in compose)
+    halves = [taskpool.url_tasks(spark, 20, "m", shard=k, shards=2) for k in (0, 1)]
+    assert {r.task_id for h in halves for r in h.collect()} == {r.task_id for r in taskpool.url_tasks(spark, 20, "m").collect()}
+
+
+def test_damages_that_change_nothing_are_not_listed(spark):
+    plain, kinds = "http://atlas.com/docs", ["drop_www", "drop_port", "drop_scheme", "reorder_query", "uppercase_host", "whitespace", "newlines", "drop_fragment"]
+    got = spark.range(1).select(urls.landed(F.lit(plain), F.array(*map(F.lit, kinds))).alias("k"), urls.difficulty(F.array().cast("array<string>")).alias("d")).first()
+    assert got.k == ["drop_scheme", "uppercase_host", "whitespace", "newlines"] and got.d == 1
+
+
+def test_distractors_come_from_other_premises(spark):
+    schema = "source_id long, premise string, hypothesis string, label string"
+    short = spark.createDataFrame([(1, "A man sings, a dog barks", "a dog barks loudly", "entailed")], schema)
+    donors = spark.createDataFrame([(2, "A man sings, a dog barks", "x", "not_entailed"), (3, "Rain falls, a dog barks far off", "y", "not_entailed"), (4, "It is, a dog barks loudly", "z", "entailed")], schema)
+    assert [(r.source_id, r.premise) for r in taskpool.distractors(short, donors).collect()] == [(1, "A man sings, a dog barks a dog barks far off")]
+
+
+def test_traps_are_dealt_in_turns(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda n: ", ".join(" ".join(rng.choices(words, k=4)) for _ in range(n))
+    raw = [(i, p := text(rng.randint(2, 5)), p.split(", ")[0], rng.choice(["entailed", "not_entailed"]), i * 7 % 101) for i in range(60)]
+    rows = spark.createDataFrame(raw, "source_id long, premise string, hypothesis string, label string, seed long")
+    alike = {r.source_id for r in taskpool.distractors(rows.drop("seed"), rows.drop("seed")).collect()}
+    expected, made = [], 0
+    for i, premise, _, label, _ in sorted(raw, key=lambda r: (r[4], r[0])):
+        units = len(premise.split(", "))
+        if made < 9 and (label == "entailed", units <= 3, i in alike)[made % 3]:
+            expected.append((i, taskpool.TRAPS[made % 3]))
+            made += 1
+    assert sorted(map(tuple, taskpool.deal_traps(rows, rows, 9).collect())) == sorted(expected) and made == 9
+    tasks = taskpool.nli_manifest(rows.drop("seed"), "s", 15).groupBy("prompt_variant").count().collect()
+    assert {r[0]: r[1] for r in tasks}["base"] == 9 and sum(r[1] for r in tasks) <= 15
+
+
+def test_exact_percentiles(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice("aab"), rng.choice([None, rng.randint(-3, 9) / 4, rng.random() * 900])) for _ in range(700)] + [("c", 5.0), ("d", None)]
+    got = {r.g: r for r in metrics.percentiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", {"p50": 0.5, "p95": 0.95}, 6).collect()}
+    for g in "abc":
+        v = [x for k, x in rows if k == g and x is not None]
+        assert abs(got[g].p50 - float(np.percentile(v, 50))) < 1e-5 and abs(got[g].p95 - float(np.percentile(v, 95))) < 1e-5
+    assert "d" not in got
+
+
+def test_samples_of_unknown_tokens_stay(spark):
+    vocab = spark.createDataFrame([("a", 3)], "token string, id int")
+    samples = spark.createDataFrame([("x", [("a zzz a", True, "assistant", "prose")]), ("y", [("zzz", True, "assistant", "prose")])], "sample_id string, segments array<struct<text:string,trainable:boolean,role:string,kind:string>>")
+    encoded = tokenizer.encode_segments(samples, vocab, "sample_id")
+    assert {r.sample_id: (r.ids, r.mask) for r in encoded.collect()} == {"x": ([3, 3], [1, 1]), "y": ([], [])}
+    assert [r.sample_id for r in tokenizer.trainable(encoded, 8).collect()] == ["x"]
+    texts = spark.createDataFrame([(1, "a b a"), (2, None), (None, "a")], "k long, text string")
+    assert sorted(map(str, map(tuple, tokenizer.encode(texts, vocab, "k").collect()))) == sorted(map(str, [(1, [3, 3]), (2, []), (None, [3])]))
+
+
+def test_prompts_are_read_back(spark):
+    for kind, subject in (("url", "htps://x.org"), ("legal", "The court held."), ("entailment", "It rains.")):
+        m = spark.range(1).select(render.seed_messages(F.lit(kind), F.lit(subject), F.lit(7)).alias("m"))
+        assert tuple(m.select(farm.hidden_items(F.col("m")), farm.asked_about(F.col("m"))).first()) == (7, subject)
+
+
+def test_ties_of_damages_go_by_what_is_seen_first(spark):
+    tasks = spark.createDataFrame([("t1", ["b", "a"]), ("t2", ["c", "a"]), ("t3", [])], "task_id string, corruptions array<string>")
+    assert [tuple(r) for r in metrics.top_damages(tasks, 2).collect()] == [("a", 2), ("b", 1)]
 
 
 def test_records(spark, tmp_path):
