@@ -1,9 +1,9 @@
 """Packing token pieces into sequences: exact complements first, best fit for what is left.
 
 Where a piece goes depends on its length alone, so the plan is made from the number of pieces of each length: at most
-``capacity`` numbers at the driver, however many pieces there are. For each length, longest first, the lengths of one,
-two or three other pieces that fill the gap exactly are looked up under the numbers still available, and as many
-sequences as those allow are filled at once. What no exact filling takes is placed best fit, longest first, in groups
+``capacity`` numbers at the driver, however many pieces there are. The sums of one, two and three lengths are indexed
+once; for each length, longest first, the lengths that fill the gap exactly are looked up there under the numbers still
+available, and as many sequences as those allow are filled at once. What no exact filling takes is placed best fit, longest first, in groups
 of like sequences. The plan says, for the r-th piece of a length, its sequence and place; ranks come from counts by
 (part, length) and a running number within a part, so no piece is moved to be counted.
 """
@@ -20,12 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._spark import cut
+from millrace.llm._spark import cut, id_type
 from millrace.llm._text import chunks
 from millrace.llm.bpe import encoder
 
 CAPACITY = 4096
-_PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
+_PIECE = "piece int, start long, length long, ids_crc32 long"
 
 
 def _room(available: np.ndarray, lengths: tuple[int, ...]) -> int:
@@ -33,27 +33,54 @@ def _room(available: np.ndarray, lengths: tuple[int, ...]) -> int:
     return min(int(available[x]) // lengths.count(x) for x in set(lengths))
 
 
-def _exact(available: np.ndarray, longest: int, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that fill the gap beside a piece of the longest."""
-    if _room(available, (longest, gap)):
-        return longest, gap
-    have = available[: gap + 1] > 0
+class Sums:
+    """Index of the sums of one, two and three of the lengths that there are, under the numbers still available.
 
-    def pair(total: int, others: tuple[int, ...]) -> tuple[int, ...] | None:
-        a = np.arange((total + 1) // 2, total)
-        for x in a[have[a] & have[total - a]][::-1].tolist():
-            if _room(available, (*others, x, total - x)):
+    Pairs lie by their sum, the one with the longest member first. Numbers only fall, so a pair of which a member is
+    used up is passed for good. A triple's sum is found through its longest member and the index of pairs.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        have = np.flatnonzero(left)
+        top = len(left)
+        counts = np.zeros(top + 1, np.int64)
+        for x in have:  # pairs (x, y) with y <= x
+            counts[x + have[(have <= x) & (x + have < top)]] += 1
+        self.start = np.concatenate([[0], np.cumsum(counts)])
+        self.cursor = self.start[:-1].copy()
+        self.longer = np.zeros(int(self.start[-1]), np.int16 if top < 1 << 15 else np.int32)
+        fill = self.start[:-1].copy()
+        for x in have[::-1]:
+            sums = x + have[(have <= x) & (x + have < top)]
+            self.longer[fill[sums]] = x
+            fill[sums] += 1
+        self.paired = counts > 0  # sums that may still have a pair
+
+    def pair(self, total: int, others: tuple[int, ...]) -> tuple[int, ...] | None:
+        if total < 2 or not self.paired[total]:
+            return None
+        longer = self.longer[self.cursor[total] : self.start[total + 1]].astype(np.int64)
+        alive = np.flatnonzero((self.left[longer] > 0) & (self.left[total - longer] > 0))
+        self.paired[total] = len(alive) > 0
+        for x in longer[alive].tolist():
+            if _room(self.left, (*others, x, total - x)):
+                self.cursor[total] += alive[0]
                 return *others, x, total - x
         return None
 
-    if found := pair(gap, (longest,)):
-        return found
-    for x in np.flatnonzero(have[: max(gap - 1, 0)])[::-1].tolist():
-        if 3 * x < gap:
-            break
-        if found := pair(gap - x, (longest, x)):
+    def fill(self, longest: int, gap: int) -> tuple[int, ...] | None:
+        """A piece of the longest with one, two or three available lengths that fill the gap beside it."""
+        if _room(self.left, (longest, gap)):
+            return longest, gap
+        if found := self.pair(gap, (longest,)):
             return found
-    return None
+        third = np.arange(gap - 2, -(-gap // 3) - 1, -1)
+        third = third[third > 0]
+        for x in third[(self.left[third] > 0) & self.paired[gap - third]].tolist():
+            if found := self.pair(gap - x, (longest, x)):
+                return found
+        return None
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -61,8 +88,10 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int,
     left, out = counts.astype(np.int64).copy(), []
     if left[capacity]:
         out.append(((capacity,), int(left[capacity])))
+        left[capacity] = 0
+    sums = Sums(left)
     for longest in range(capacity - 1, 0, -1):
-        while left[longest] and (found := _exact(left, longest, capacity - longest)):
+        while left[longest] and (found := sums.fill(longest, capacity - longest)):
             m = _room(left, found)
             for x in found:
                 left[x] -= m
@@ -152,7 +181,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int
             ids_of = rows.column("doc_id").combine_chunks().take(pa.array(doc))
             yield from pa.table({"doc_id": ids_of, "piece": pa.array(piece, pa.int32()), "start": start, "length": length, "ids_crc32": pa.array(crc, pa.int64()), "part": pa.array(np.full(len(doc), part), pa.int32()), "place": place}).to_batches()
 
-    return docs.select("doc_id", "text").mapInArrow(run, _PIECE)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type(docs)}, {_PIECE}, part int, place long")
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
@@ -178,4 +207,4 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPA
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     joined = pieces.join(bases, ["part", "length"])
-    return joined.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return joined.mapInArrow(run, f"doc_id {id_type(docs)}, {_PIECE}, sequence_id long, offset long")

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm._spark import id_type
 from millrace.llm._sums import keep_rows, summed
 from millrace.llm._text import chunks, code_points, mix64, span_hash
 
@@ -177,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int =
             yield from pa.table({"doc_id": rows.column("doc_id"), "quality": rows.column("quality").cast(pa.int64()), "x": pa.array([r.tobytes() for r in x], pa.binary())}).to_batches()
 
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = joined.mapInArrow(run, "doc_id long, quality long, x binary").collect()
+    rows = joined.mapInArrow(run, f"doc_id {id_type(docs)}, quality long, x binary").collect()
     rows.sort(key=lambda r: (r[0], r[2]))
     x = np.array([np.frombuffer(r[2], np.float32) for r in rows], np.float64).reshape(len(rows), 2 * WIDTH + 3)
     return Classifier(vectors, Network(x, np.array([float(r[1] > 0) for r in rows])))
@@ -190,7 +191,7 @@ def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
         for rows, texts in chunks(batches):
             yield from pa.table({"doc_id": rows.column("doc_id"), "score": classifier.score(texts)}).to_batches()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type(docs)}, score double")
 
 
 def keep_good(docs: DataFrame, classifier: Classifier, keep_from: float = KEEP_FROM) -> DataFrame:

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from millrace.llm._spark import id_type
 from millrace.llm._text import chunks, code_points, distinct, utf8, words
 
 WINDOW_WORDS = 3
@@ -150,4 +151,4 @@ def apply_rules(docs: DataFrame, vocabulary: str, languages: dict[str, Band] = L
             fits = (tokens["chars_per_token"] >= bands[:, 0]) & (tokens["chars_per_token"] <= bands[:, 1]) & (tokens["byte_share"] <= bands[:, 2]) & (tokens["token_entropy"] >= bands[:, 3])
             yield from pa.table({"doc_id": rows.column("doc_id"), **counts, "base_failed": failed, "kept": ~failed & fits, **tokens}).to_batches()
 
-    return docs.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, " + _FIELDS)
+    return docs.select("doc_id", "text", "lang").mapInArrow(run, f"doc_id {id_type(docs)}, {_FIELDS}")

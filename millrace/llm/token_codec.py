@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
+from millrace.llm._spark import id_type
 from millrace.llm._text import chunks
 from millrace.llm.bpe import encoder
 
@@ -65,4 +66,4 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
                 }
             ).to_batches()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type(docs)}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -7,7 +7,7 @@ will be asked is in the universe that the cascade was made over, its answer is e
 The first level's rate is chosen so that about as many unlisted keys pass as there are listed ones; further levels take
 half of what is before them. So the cascade's size follows the listed keys and, by its logarithm, the universe. The
 keys that pass level one are counted before they are gathered at the driver; if there are more than expected, level one
-is made larger. Listed keys are a parameter of at most MOST_LISTED; a longer list is split by key hash into cascades.
+is made larger. Listed keys are a parameter; of more than MOST_LISTED, each part by key hash has a cascade of its own.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Sites whose pages are not wanted.
-LISTED_SITES = ("ads-track.example.com", "free-bets.example.net", "cheap-pills.example.net", "spam-farm.example.org", "casino-win.example.net", "adult-x.example.com")
+#: Sites whose pages are not wanted: each name under every domain that the pages have it with.
+LISTED_NAMES = ("ads-track.example", "free-bets.example", "cheap-pills.example", "spam-farm.example", "casino-win.example", "adult-x.example")
+LISTED_SITES = tuple(f"{name}.{domain}" for name in LISTED_NAMES for domain in ("com", "net", "org"))
 #: Listed keys in one cascade: its levels are then under 64 MB.
 MOST_LISTED = 4_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -106,40 +107,66 @@ class Cascade:
         return sum(x.size for x in self.levels)
 
 
-def build(universe: DataFrame, key: str, listed: Iterable[str], rate: float | None = None) -> tuple[Cascade, int]:
-    """The cascade of the listed keys over all keys of the universe (nulls are no keys), and the seed of its hash.
+class Cascades:
+    """Cascades of the parts of a long list, by key hash."""
 
-    Listed keys that the universe has not do no harm. If two different keys had equal hashes and only one were listed,
-    another seed is taken.
+    def __init__(self, parts: list[Cascade]):
+        self.parts = parts
+
+    def test(self, keys: np.ndarray) -> np.ndarray:
+        if len(self.parts) == 1:
+            return self.parts[0].test(keys)
+        out, part = np.zeros(len(keys), bool), keys % len(self.parts)
+        for i, cascade in enumerate(self.parts):
+            own = np.flatnonzero(part == i)
+            out[own] = cascade.test(keys[own])
+        return out
+
+    @property
+    def bits(self) -> int:
+        return sum(x.bits for x in self.parts)
+
+
+def build(universe: DataFrame, key: str, listed: Iterable[str], rate: float | None = None, most: int = MOST_LISTED) -> tuple[Cascades, int]:
+    """Cascades of the listed keys over all keys of the universe (nulls are no keys), and the seed of their hash.
+
+    Listed keys that the universe has not do no harm. A list of more than ``most`` keys is dealt by hash into parts with
+    a cascade each. If two different keys had equal hashes and only one were listed, another seed is taken.
     """
     names = sorted(set(listed))
-    if len(names) > MOST_LISTED:
-        raise ValueError(f"{len(names)} listed keys; split them by hash into cascades of at most {MOST_LISTED}")
     if not names:
-        return Cascade(np.zeros(0, np.int64), None, np.zeros(0, np.int64)), 0
+        return Cascades([Cascade(np.zeros(0, np.int64), None, np.zeros(0, np.int64))]), 0
     spark = universe.sparkSession
     keys = universe.select(F.col(key).alias("key")).where("key is not null").distinct()
     named = spark.createDataFrame([(n,) for n in names], "key string")
+    parts = -(-len(names) // most)
+    total = keys.count()
     seed = 0
     while True:
-        hashed = keys.select("key", F.xxhash64(F.lit(seed), "key").alias("h"))
-        inside = np.array([r[0] for r in named.select(F.xxhash64(F.lit(seed), "key")).collect()], np.int64)
-        total = keys.count()
-        p = rate or min(0.5, math.sqrt(0.5) * len(names) / max(total, 1))
-        expected = 64 + 4 * max(len(names), p * total)
-        while True:
-            first = BloomLevel(inside, p, 1)
-            passes = F.pandas_udf(lambda h, level=first: pd.Series(level.test(h.to_numpy())), "boolean")
-            over = hashed.where(passes("h")).join(F.broadcast(named), "key", "left_anti").select("h").limit(int(expected) + 1)
-            found = np.array([r[0] for r in over.collect()], np.int64)
-            if len(found) <= expected:
-                break
-            p /= 4
-        if not np.isin(found, inside).any():
-            return Cascade(inside, first, found), seed
+        hashed = lambda df, i: df.select("key", F.xxhash64(F.lit(seed), "key").alias("h")).where(F.pmod("h", F.lit(parts)) == i)  # noqa: B023, E731
+        cascades = [_cascade(hashed(keys, i), hashed(named, i), total // parts, rate) for i in range(parts)]
+        if all(cascades):
+            return Cascades(cascades), seed
         seed += 1
 
 
+def _cascade(keys: DataFrame, named: DataFrame, total: int, rate: float | None) -> Cascade | None:
+    """The cascade of the listed keys over all keys (key, h); nothing, if a listed and another key have one hash."""
+    inside = np.array([r.h for r in named.select("h").collect()], np.int64)
+    if not len(inside):
+        return Cascade(inside, None, inside)
+    p = rate or min(0.5, math.sqrt(0.5) * len(inside) / max(total, 1))
+    expected = 64 + 4 * max(len(inside), p * total)
+    while True:
+        first = BloomLevel(inside, p, 1)
+        passes = F.pandas_udf(lambda h, level=first: pd.Series(level.test(h.to_numpy())), "boolean")
+        over = keys.where(passes("h")).join(F.broadcast(named), "key", "left_anti").select("h").limit(int(expected) + 1)
+        found = np.array([r.h for r in over.collect()], np.int64)
+        if len(found) <= expected:  # otherwise none is taken: the first level is made larger
+            return None if np.isin(found, inside).any() else Cascade(inside, first, found)
+        p /= 4
+
+
 def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest rule that fits, as (its text, its action); nulls if none does."""
     text = action = F.lit(None).cast("string")
