@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.hashing import draw
+from millrace.functions.hashing import draw, json_string, stable_seed
 from millrace.functions.text import jaccard, let, letters, strip
 
 _PARTS = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -165,7 +165,7 @@ def _repeat_segment(url: Column, seed: Column) -> Column:
 def _reorder(url: Column, seed: Column) -> Column:
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
     pairs = F.split(query, "&")
-    mixed = F.array_join(F.transform(F.array_sort(F.transform(pairs, lambda p, i: F.struct(F.xxhash64(seed, p, i).alias("o"), p.alias("p")))), lambda x: x["p"]), "&")
+    mixed = F.array_join(F.transform(F.array_sort(F.transform(pairs, lambda p, i: F.struct(stable_seed(seed.cast("string"), "order", i.cast("string")).alias("o"), p.alias("p")))), lambda x: x["p"]), "&")
     return F.when(F.size(pairs) > 1, F.concat(F.substring_index(url, "?", 1), F.lit("?"), mixed, F.regexp_extract(url, r"(?s)(#.*)$", 1))).otherwise(url)
 
 
@@ -221,7 +221,7 @@ def difficulty(kinds: Column) -> Column:
 
 def sample_kinds(seed: Column, names: tuple[str, ...], most: int = 3) -> Column:
     """One to ``most`` of the names without repetition."""
-    order = F.array_sort(F.transform(F.array(*map(F.lit, names)), lambda k: F.struct(F.xxhash64(seed, k).alias("o"), k.alias("k"))))
+    order = F.array_sort(F.transform(F.array(*map(F.lit, names)), lambda k: F.struct(stable_seed(seed.cast("string"), "kind", json_string(k)).alias("o"), k.alias("k"))))
     return F.slice(F.transform(order, lambda x: x["k"]), F.lit(1), (1 + draw(seed, "kinds") % most).cast("int"))
 
 

@@ -28,6 +28,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written to the shared folder and read from there: made once, however many plans use them, and small
+    plans instead of one large one."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def query(sql: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -105,9 +113,13 @@ _VERDICTS = f"""{_TASKS}, runs AS (
   FROM final)"""
 
 
+def runs_and_tasks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    tasks = stored(adapters.tasks(spark, d), "tasks")
+    return stored(adapters.runs(tasks), "runs"), tasks
+
+
 def _verdicts(spark: SparkSession, d: str) -> DataFrame:
-    tasks = adapters.tasks(spark, d)
-    return gate.verify(adapters.runs(tasks), tasks)
+    return gate.verify(*runs_and_tasks(spark, d))
 
 
 @query(f"""WITH {_VERDICTS}, codes AS (SELECT unnest({_words(*gate.REASONS)}) AS reason_code, unnest(range({len(gate.REASONS)})) AS pos)
@@ -242,19 +254,12 @@ def segment_kinds(spark, d):
 
 
 @query(f"""WITH {_VERDICTS}, ok AS (SELECT * FROM final JOIN (SELECT run_id FROM verdicts WHERE reason_code = 'VERIFIED_OK') USING (run_id))
-SELECT {_split('task_id')} AS split, w AS windowing, count(*) AS n, round(avg(target + 1), 1) AS avg_n_steps, max(target + 1)::BIGINT AS max_steps FROM ok, (SELECT unnest(['full_context', 'windowed', 'naive_truncated']) AS w) GROUP BY ALL""")
+SELECT {_split('task_id')} AS split, w AS windowing, count(*) AS n, round(avg(target + 1), 2) AS avg_n_steps, max(target + 1)::BIGINT AS max_steps, count(*) FILTER (prompt_variant = 'base') AS base, count(*) FILTER (prompt_variant = 'premise_negation') AS premise_negation FROM ok, (SELECT unnest(['full_context', 'windowed', 'naive_truncated']) AS w) GROUP BY ALL""")
 def sample_stats(spark, d):
-    tasks = adapters.tasks(spark, d)
-    runs = adapters.runs(tasks)
+    runs, tasks = runs_and_tasks(spark, d)
     samples = dataset.build(gate.verify(runs, tasks), runs, tasks, windowed={"head": 40}, naive_truncated={"keep_chars": 400})
-    return dataset.stats(samples).select("split", "windowing", "n", "avg_n_steps", F.col("max_steps").cast("long").alias("max_steps"))
-
-
-@query()
-def training_samples(spark, d):
-    tasks = adapters.tasks(spark, d)
-    runs = adapters.runs(tasks)
-    return dataset.build(gate.verify(runs, tasks), runs, tasks)
+    of = lambda v: F.coalesce(F.col("by_variant")[v], F.lit(0)).alias(v)
+    return dataset.stats(samples).select("split", "windowing", "n", "avg_n_steps", F.col("max_steps").cast("long").alias("max_steps"), of("base"), of("premise_negation"))
 
 
 @query(f"""WITH n AS (SELECT conv_id, count(*) AS n_steps FROM conversations GROUP BY conv_id)
@@ -299,18 +304,6 @@ def schedule_balance(spark, d):
     return taskpool.claim_schedule(articles, "s").groupBy("variant").agg(F.count("*").alias("n"))
 
 
-@query()
-def claim_tasks(spark, d):
-    articles = adapters.document_units(spark, d).select(F.col("doc_id").cast("string").alias("article_id"), F.col("units").alias("facts"))
-    return taskpool.claim_tasks(articles, "legal")
-
-
-@query()
-def nli_tasks(spark, d):
-    rows = adapters.document_units(spark, d).where(F.size("units") >= 2).select(F.col("doc_id").alias("source_id"), F.array_join("units", ", ").alias("premise"), F.get("units", 0).alias("hypothesis"), F.when(F.col("doc_id") % 2 == 0, "entailment").otherwise("neutral").alias("label"))
-    return taskpool.nli_manifest(rows, "nli", 120)
-
-
 @query()
 def url_tasks(spark, d):
     return taskpool.url_manifest(spark, table(spark, d, "pages").count(), "url")
