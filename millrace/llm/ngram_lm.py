@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from millrace.llm._spark import cut, id_type
 from millrace.llm._text import lower_ascii, mix64, span_hash, utf8, words
 from millrace.llm.elias_fano import EliasFano, Trie, mapped
+from millrace.llm.packed import added, borders, pack_counts, pack_runs, pack_sorted, sent, unpack_counts, unpack_runs, unpack_sorted
 
 SHARE = 0.5
 SLICES = np.uint64(16)
@@ -64,52 +65,6 @@ def pairs(h: np.ndarray, owner: np.ndarray, bits: int) -> np.ndarray:
     return context << np.uint64(bits) | word
 
 
-def pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers as the first one and differences, of as many bytes as the largest needs."""
-    if not len(keys):
-        return b""
-    gaps = np.diff(keys)
-    wide = max(1, -(-int(gaps.max()).bit_length() // 8)) if len(gaps) else 1
-    return keys[:1].astype("<u8").tobytes() + bytes([wide]) + np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T).tobytes()
-
-
-def unpack_sorted(blob: bytes) -> np.ndarray:
-    if not blob:
-        return np.zeros(0, np.uint64)
-    wide = blob[8]
-    columns = np.frombuffer(blob, np.uint8, offset=9).reshape(wide, -1)
-    raw = np.zeros((columns.shape[1] + 1, 8), np.uint8)
-    raw[0] = np.frombuffer(blob[:8], np.uint8)
-    raw[1:, :wide] = columns.T
-    return np.cumsum(raw.view("<u8").ravel(), dtype=np.uint64)
-
-
-def pack_counts(counts: np.ndarray) -> bytes:
-    """Counts as bytes; those of 255 and more follow as places and values."""
-    big = np.flatnonzero(counts >= 255)
-    return len(counts).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes() + np.stack([big, counts[big]]).astype("<i8").tobytes()
-
-
-def unpack_counts(blob: bytes) -> np.ndarray:
-    n = int.from_bytes(blob[:8], "little")
-    out = np.frombuffer(blob, np.uint8, n, 8).astype(np.int64)
-    big = np.frombuffer(blob, "<i8", offset=8 + n).reshape(2, -1)
-    out[big[0]] = big[1]
-    return out
-
-
-def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
-
-
-def _borders(shards: int, bits: int) -> np.ndarray:
-    """Where the ranges of keys of ``bits`` bits begin, but for the first."""
-    return np.array([(i << bits) // shards for i in range(1, shards)], np.uint64)
-
-
 def quantise(p: np.ndarray, least: float) -> np.ndarray:
     """Probabilities from ``least`` to 1 as codes 1..255, in equal steps of their logarithm."""
     return (1 + np.round(STEPS * (1 - np.log(p) / min(math.log(least), -1e-9)))).clip(1, 255).astype(np.uint8)
@@ -122,28 +77,10 @@ def dequantised(least: float) -> np.ndarray:
     return out
 
 
-def _sent(keys: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where sorted keys are cut by shard, and the shards that have any (of many shards most have nothing of a block)."""
-    at = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-    return at, np.flatnonzero(np.diff(at))
-
-
 def _blobs(table: pa.Table, column: str, unpack) -> np.ndarray:
     return np.concatenate([unpack(x) for x in table.column(column).to_pylist()])
 
 
-def pack_runs(values: np.ndarray) -> bytes:
-    """Numbers of which many in a row are equal: each with how often it comes."""
-    fresh = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-    lengths = pack_counts(np.diff(np.append(fresh, len(values))))
-    return len(lengths).to_bytes(8, "little") + lengths + pack_counts(values[fresh])
-
-
-def unpack_runs(blob: bytes) -> np.ndarray:
-    n = 8 + int.from_bytes(blob[:8], "little")
-    return np.repeat(unpack_counts(blob[n:]), unpack_counts(blob[8:n]))
-
-
 def _grown(base: int, most: int, size: int) -> int:
     return min(most, round(base * max(1.0, size / SMALL) ** (1 / 3)))
 
@@ -163,7 +100,7 @@ def score(docs: DataFrame, learn: Column, share: float = SHARE) -> DataFrame:
     shards = max(tasks, -(-size // _grown(SHARD_BYTES, MOST_SHARD_BYTES, size)))
     blocks = max(tasks, -(-size // _grown(BLOCK_BYTES, MOST_BLOCK_BYTES, size)))
     bits = min(32, max(16, -(-(max(size, 1).bit_length() + 18) // 2)))
-    word_borders, pair_borders = _borders(shards, 64), _borders(shards, 2 * bits)
+    word_borders, pair_borders = borders(shards, 64), borders(shards, 2 * bits)
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     dealt = docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"), block.alias("block")).repartition(tasks, "block")
 
@@ -178,7 +115,7 @@ def score(docs: DataFrame, learn: Column, share: float = SHARE) -> DataFrame:
         h, owner = block_tokens(table)
         u, inverse = np.unique(h, return_inverse=True)
         counts = learned(table, owner, inverse, len(u))
-        at, some = _sent(u, word_borders)
+        at, some = sent(u, word_borders)
         spans = [(int(at[i]), int(at[i + 1])) for i in some]
         return pa.table(
             {
@@ -194,7 +131,7 @@ def score(docs: DataFrame, learn: Column, share: float = SHARE) -> DataFrame:
         asked = table.column("keys").to_pylist()
         keys, counts = np.concatenate([unpack_sorted(x) for x in asked]), _blobs(table, "counts", unpack_counts)
         known = counts > 0
-        keys, counts = _added(keys[known], counts[known])
+        keys, counts = added(keys[known], counts[known])
         below = keys[0] if len(keys) else np.uint64(0)
         level = EliasFano(mapped(EliasFano.encode(keys - below, int(keys[-1] - below) + 1 if len(keys) else 1)))
         out = []
@@ -242,7 +179,7 @@ def score(docs: DataFrame, learn: Column, share: float = SHARE) -> DataFrame:
         u, where, inverse = np.unique(pairs(h, owner, bits), return_index=True, return_inverse=True)
         counts = learned(texts, owner, inverse, len(u))
         alone = quantise((c[where] + 1) / normal, 1 / normal)
-        at, some = _sent(u, pair_borders)
+        at, some = sent(u, pair_borders)
         rows: dict[str, list] = {"shard": some.tolist(), "block": [texts.column("block")[0].as_py()] * len(some), "keys": [], "counts": [], "alone": [], "contexts": []}
         for a, b in ((int(at[i]), int(at[i + 1])) for i in some):
             own = a + np.flatnonzero(counts[a:b])

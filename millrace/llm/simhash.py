@@ -22,15 +22,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from millrace.llm import shingle_join
-from millrace.llm._spark import cut
-from millrace.llm._text import chunks, lower_ascii, ragged, utf8, words
-from millrace.llm.graph import components
-from millrace.llm.xxh import xxh64
+from millrace.llm._spark import cut, id_type
+from millrace.llm._text import chunks
+from millrace.llm.graph import bounds, components, joined, tiled, whole_groups
+from millrace.llm.shingles import hashes
 
 SHINGLE_WORDS = 3
-SEED = 42
 NEAR_BITS = 2
 #: What the pipeline's stage takes for near copies.
 KEEP_SHINGLE_WORDS = 5
@@ -45,31 +45,12 @@ _GENERATOR = 0b110001110101
 _SPREAD = np.array([sum(1 << 8 * k for k in range(8) if v >> k & 1) for v in range(256)], np.uint64)
 
 
-def shingles(texts: list[str], size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, starts, lengths of all shingles (words with one space between), and the number of the text each is in."""
-    raw, offsets = utf8(texts)
-    raw = lower_ascii(raw)
-    start, end, owner = words(raw, offsets)
-    wide = end - start + 1
-    at = np.cumsum(wide) - wide
-    line = np.full(int(wide.sum()), 0x20, np.uint8)
-    line[ragged(wide - 1, at)] = raw[ragged(wide - 1, start)]
-    count = np.bincount(owner, minlength=len(texts))
-    first = np.cumsum(count) - count
-    number = np.where(count >= size, count - size + 1, np.minimum(count, 1))
-    text = np.repeat(np.arange(len(texts)), number)
-    a = ragged(number, first)
-    b = np.minimum(a + size, (first + count)[text]) - 1
-    return line, at[a], at[b] + wide[b] - 1 - at[a], text
-
-
-def fingerprints(texts: list[str]) -> np.ndarray:
+def fingerprints(texts: list[str], shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
     """The 64-bit fingerprint of every text: a bit is set if it is in over half the shingles' hashes."""
-    line, start, length, text = shingles(texts)
+    h, text = hashes(texts, shingle_words)
     out = np.zeros(len(texts), np.uint64)
-    if not len(start):
+    if not len(h):
         return out
-    h = xxh64(line, start, length, SEED)
     count = np.bincount(text, minlength=len(texts))
     first = np.cumsum(count) - count
     blocks = -(-count // 255)  # sums of up to 255 bits fit into a byte
@@ -127,19 +108,6 @@ def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(of)
 
 
-def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels after joining the sets of a and b; a label is the smallest member."""
-    while True:
-        la, lb = label[a], label[b]
-        if (la == lb).all():
-            return label
-        low = np.minimum(la, lb)
-        np.minimum.at(label, la, low)
-        np.minimum.at(label, lb, low)
-        while (label[label] != label).any():
-            label = label[label]
-
-
 def linked(fp: np.ndarray, near: int = NEAR_BITS) -> np.ndarray:
     """For each of the distinct fingerprints of a group, the lowest position that links lead to."""
     n = len(fp)
@@ -148,7 +116,7 @@ def linked(fp: np.ndarray, near: int = NEAR_BITS) -> np.ndarray:
         step = max(1, (1 << 20) // n)
         for i in range(0, n, step):
             a, b = np.nonzero(np.bitwise_count(fp[i : i + step, None] ^ fp[None, :]) <= near)
-            label = _join(label, a + i, b)
+            label = joined(label, a + i, b)
         return label
     order = np.argsort(fp)
     ranked = fp[order]
@@ -158,90 +126,98 @@ def linked(fp: np.ndarray, near: int = NEAR_BITS) -> np.ndarray:
         other = ranked ^ np.uint64(m)
         at = np.minimum(np.searchsorted(ranked, other), n - 1)
         hit = np.flatnonzero(ranked[at] == other)
-        label = _join(label, order[hit], order[at[hit]])
+        label = joined(label, order[hit], order[at[hit]])
     return label
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forest edges (a, b) of each group of equal keys; rows come sorted by key."""
-
-    def edges(key: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
-        cut_at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    """Forest edges (a, b) of each group of equal (key, tile) between nodes; rows come sorted by group."""
+    for table in whole_groups(batches):
+        key, tile, fp, node = (table.column(c).to_numpy() for c in ("key", "tile", "fp", "node"))
+        fp, cut_at = fp.view(np.uint64), bounds(key, tile)
         size = np.diff(cut_at)
-        a, b = [], []
         two = cut_at[:-1][size == 2]
         near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= NEAR_BITS]
-        a.append(rep[near])
-        b.append(rep[near + 1])
+        a, b = [node[near]], [node[near + 1]]
         for s, m in zip(cut_at[:-1][size > 2].tolist(), size[size > 2].tolist()):
             label = linked(fp[s : s + m])
             other = np.flatnonzero(label != np.arange(m))
-            a.append(rep[s + other])
-            b.append(rep[s + label[other]])
+            a.append(node[s + other])
+            b.append(node[s + label[other]])
         a, b = np.concatenate(a), np.concatenate(b)
-        return pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    held: list[tuple[np.ndarray, ...]] = []
-    for batch in batches:
-        key, fp, rep = (batch.column(c).to_numpy() for c in ("key", "fp", "rep"))
-        if not len(key):
-            continue
-        held.append((key, fp.view(np.uint64), rep))
-        if held[0][0][0] == key[-1]:
-            continue  # one group so far
-        key, fp, rep = (np.concatenate(x) for x in zip(*held))
-        last = int(np.searchsorted(key, key[-1]))
-        yield edges(key[:last], fp[:last], rep[:last])
-        held = [(key[last:], fp[last:], rep[last:])]
-    if held:
-        yield edges(*(np.concatenate(x) for x in zip(*held)))
-
-
-def fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) of every row of docs (doc_id, text); null and wordless texts: 0."""
+        yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def fingerprint(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long) of every row of docs (doc_id of any type, text); null and wordless texts: 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in chunks(batches):
-            yield from pa.table({"doc_id": rows.column("doc_id"), "fp": fingerprints(texts).view(np.int64)}).to_batches()
+            yield from pa.table({"doc_id": rows.column("doc_id"), "fp": fingerprints(texts, shingle_words).view(np.int64)}).to_batches()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type(docs)}, fp long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every row of docs (doc_id, text).
-
-    component_id is the smallest doc_id that links of at most 2 bits lead to. Rows that share a doc_id are linked only
-    by their fingerprints; a null doc_id counts for no component's smallest, and where a component has no other it is
-    null. Columns other than doc_id and text are not read. An empty table gives no rows.
-    """
+def links(prints: DataFrame) -> DataFrame:
+    """a, b: of nodes with fingerprints (node, fp), pairs that hold together all nodes that links of at most NEAR_BITS
+    bits lead to: a spanning forest of each group of equal Golay keys."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, rep = b.column("fp").to_numpy(), b.column("rep").to_numpy()
+            fp, node = b.column("fp").to_numpy(), b.column("node").to_numpy()
             key, of = keys(fp.view(np.uint64))
-            yield from pa.table({"key": key, "fp": fp[of], "rep": rep[of]}).to_batches()
+            yield from pa.table({"key": key, "fp": fp[of], "node": node[of]}).to_batches()
 
+    keyed = prints.select("node", "fp").mapInArrow(emit, "key long, fp long, node long")
+    return tiled(keyed).mapInArrow(_links, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id of every row of docs (doc_id of any type, text).
+
+    component_id is the smallest doc_id that links of at most 2 bits lead to, through rows with and without a doc_id; a
+    null doc_id counts for no component's smallest, and where a component has no other it is null. Rows that share a
+    doc_id are rows of their own, linked only by their fingerprints. Columns other than doc_id and text are not read.
+    An empty table gives no rows.
+    """
     prints = cut(fingerprint(docs))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    named = nodes.where("rep is not null")
-    pairs = named.mapInArrow(emit, "key long, fp long, rep long").repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
-    found = components(pairs)
-    groups = nodes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("smallest"))
+    found = components(links(nodes.select(F.col("fp").alias("node"), "fp")))
+    grouped = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "smallest", F.coalesce("component", "fp").alias("component"))
+    named = grouped.groupBy("component").agg(F.min("smallest").alias("component_id"))
+    groups = grouped.join(named, "component").select("fp", "component_id")
     return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle_words: int = KEEP_SHINGLE_WORDS, similarity: float = KEEP_SIMILARITY) -> DataFrame:
-    """The rows of docs with one document of each group: the one of the smallest doc_id.
+    """The rows of docs (doc_id, text), all columns as they are, with one row of each group of near-duplicates.
 
-    Groups are those of links between all texts whose sets of shingles of ``shingle_words`` words have a Jaccard
-    similarity of at least ``similarity`` (taken to two places). Fingerprints are not asked: most such texts differ in
-    more than op2's 2 bits.
-    Rows of one doc_id and one text are one document, of which one row stays. Rows without a doc_id stay.
+    Texts are linked if their sets of shingles of ``shingle_words`` words have a Jaccard similarity of at least
+    ``similarity`` (taken to two places); texts with the same set, as all wordless and null ones, are linked too. Links
+    are first found by the Golay keys of fingerprints of these shingles and verified by the sets. Most texts at 0.8
+    differ in more than 2 of 64 bits, so the links between texts that are not yet in one group are then found by an
+    exact join (``shingle_join``): no link is lost.
+
+    Of a group the row with the smallest doc_id stays; rows with that doc_id are ordered by their set and then by a
+    hash of all columns, and rows that are the same in all of them are one. Rows without a doc_id all stay and link
+    nothing. An empty table gives no rows.
     """
-    named = shingle_join.with_node(docs.where("doc_id is not null"), shingle_words)
-    prints = cut(named.select("doc_id", "node"))
-    found = shingle_join.linked_nodes(docs.where("doc_id is not null"), shingle_words, similarity)
+    known = docs.where("doc_id is not null")
+    mark = "_mark"
+    while mark in docs.columns:
+        mark += "_"
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, MapType)]
+    marked = known.withColumn(mark, F.xxhash64(*hashed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in chunks(batches):
+            columns = {"doc_id": rows.column("doc_id"), "mark": rows.column("mark"), "node": shingle_join.nodes(texts, shingle_words), "fp": fingerprints(texts, shingle_words).view(np.int64)}
+            yield from pa.table(columns).to_batches()
+
+    prints = cut(marked.select("doc_id", "text", F.col(mark).alias("mark")).mapInArrow(run, f"doc_id {id_type(docs)}, mark long, node long, fp long"))
+    near = links(prints.groupBy("node").agg(F.min("fp").alias("fp")))
+    found = shingle_join.linked_nodes(known, shingle_words, similarity, near)
     groups = prints.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = groups.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("head")).select("head.doc_id", "head.node")
-    kept = named.join(heads, ["doc_id", "node"], "left_semi").dropDuplicates(["doc_id", "node"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    heads = groups.groupBy("component").agg(F.min(F.struct("doc_id", "node", "mark")).alias("head")).select("head.doc_id", F.col("head.mark").alias(mark))
+    kept = marked.join(heads, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))
