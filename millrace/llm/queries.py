@@ -39,7 +39,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.apply_rules(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"), [public_tokenizers.path(v) for v in quality_rules.LANGUAGE_BANDS])
 
 
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
