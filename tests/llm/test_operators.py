@@ -554,6 +554,9 @@ def test_op8_on_held_out_rows(spark, docs):
     assert {i for i, r in found.items() if r.lang_pred == "und"} == {3, 5, 9}
     kept = language_id.keep_identified(docs, field)
     assert kept.columns == docs.columns and not {3, 5, 9} & {r.doc_id for r in kept.collect()}
+    strange = [(1, " ".join(r[1] for r in corpus(6)[1::2]).lower()), (2, "dnia dzisiejszego wszyscy obywatele powinni pójść do urzędu żeby złożyć podpis pod petycją"), (3, "привет мир это простой текст на русском языке который не был изучен")]
+    left = language_id.keep_identified(spark.createDataFrame(strange, "doc_id long, text string"), field)
+    assert [r.doc_id for r in left.collect()] == [1]  # the others are in languages that were not learned
     none = language_id.train(empty(docs), ~held_out(4))
     assert {r.lang_pred for r in language_id.identify(docs, none).collect()} == {"und"}
     assert language_id.keep_identified(docs, none).count() == len(AWKWARD)
