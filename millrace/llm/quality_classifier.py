@@ -165,8 +165,10 @@ class Classifier:
 def train(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS) -> Classifier:
     """The classifier for labels (doc_id, quality); ``learn`` says of a doc_id whether its label may be learned.
 
-    Labels of one doc_id that differ count as the lower; null labels and those of absent documents are left out.
-    Without any label every score is 0.5.
+    Labels of one doc_id that differ count as the lower; null labels and those of absent documents are left out. Of
+    rows that share a doc_id one is learned from, the first by its features; all of them count for the word vectors.
+    Labels beyond sample_rows are drawn by a hash of the doc_id. Null texts count as empty, very long ones are read
+    whole. Without any label, or any document, every score is 0.5. Other columns are not read.
     """
     vectors = word_vectors(docs)
     usable = labels.where(learn & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -178,14 +180,18 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int =
             yield from pa.table({"doc_id": rows.column("doc_id"), "quality": rows.column("quality").cast(pa.int64()), "x": pa.array([r.tobytes() for r in x], pa.binary())}).to_batches()
 
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = joined.mapInArrow(run, f"doc_id {id_type(docs)}, quality long, x binary").collect()
-    rows.sort(key=lambda r: (r[0], r[2]))
+    learned = joined.mapInArrow(run, f"doc_id {id_type(docs)}, quality long, x binary").groupBy("doc_id", "quality").agg(F.min("x").alias("x"))
+    rows = sorted(map(tuple, learned.collect()))  # at most sample_rows
     x = np.array([np.frombuffer(r[2], np.float32) for r in rows], np.float64).reshape(len(rows), 2 * WIDTH + 3)
     return Classifier(vectors, Network(x, np.array([float(r[1] > 0) for r in rows])))
 
 
 def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """doc_id, score of every row of docs (doc_id, text); null texts count as empty. Other columns are not read."""
+    """doc_id, score of every row of docs (doc_id of any type, text).
+
+    Null and empty texts have the score of a text without words; equal texts have equal scores, very long ones are read
+    whole. Repeated rows come out as often as they go in, an empty table gives no rows, other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in chunks(batches):

@@ -7,7 +7,8 @@ min/max index that Parquet readers use to skip pages on a doc_id range. Files ar
 a lost task's half-written file is never seen.
 
 Null texts count as empty: only the end id is written. Null doc_ids come first; rows with equal doc_ids are ordered by
-text. Other columns of the input are not read.
+a hash of their texts. Very long texts are one row each. An empty table gives a file without rows. doc_ids are longs;
+other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from millrace.llm.bpe import encoder
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
+#: Documents in a page: a page of small columns would else hold those of a whole row group, and nothing could be skipped.
+PAGE_ROWS = 500
 SCHEMA = "part int, doc_id long, start long, n_tokens long, ids array<int>"
 
 
@@ -44,11 +47,12 @@ def encode_in_order(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFr
             yield from pa.table(columns).to_batches(max_chunksize=500)
             before += int(at[-1])
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, SCHEMA)
+    # rows of one doc_id, or of none, may be many: they are dealt by a hash of the text too
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    return ordered.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES) -> None:
+def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES, page_rows: int = PAGE_ROWS) -> None:
     """Writes the token file of all rows of docs (doc_id, text) to the folder ``path``."""
     writer = encode_in_order(docs, vocabulary, end_id).write.mode("overwrite")
     options = {
@@ -56,6 +60,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, row_grou
         "parquet.writer.version": "PARQUET_2_0",
         "parquet.block.size": row_group_bytes,
         "parquet.page.size": page_bytes,
+        "parquet.page.row.count.limit": page_rows,
         "parquet.enable.dictionary": "true",
         **{f"parquet.enable.dictionary#{c}": "false" for c in ("part", "doc_id", "start", "n_tokens")},
     }

@@ -122,7 +122,7 @@ def test_op3_files(spark, docs, library, tmp_path):
     path, t = public_tokenizers.path("byte_bpe_50k.json"), library["byte_bpe_50k.json"]
     out = str(tmp_path / "tokens")
     token_file.write(docs, out, path)
-    ordered = sorted(AWKWARD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    ordered = sorted(AWKWARD, key=lambda r: (r[0] is not None, r[0] or 0))
     start, expected = 0, []
     for i, text in ordered:
         ids = t.encode(text or "", add_special_tokens=False).ids + [0]
@@ -139,6 +139,54 @@ def test_op3_files(spark, docs, library, tmp_path):
     assert "ids:array" not in plan.split("ReadSchema")[1].split(">")[0]
 
 
+def test_op3_pages_outside_a_range_are_not_read(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(0)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 3000, 60))) for i in range(4000)]
+    out = str(tmp_path / "pages")
+    token_file.write(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), out, public_tokenizers.path("byte_bpe_50k.json"), page_bytes=4096)
+    files = sorted((tmp_path / "pages").glob("*.parquet"))
+    column = pq.ParquetFile(files[0]).metadata.row_group(0).column(1)
+    assert column.path_in_schema == "doc_id" and column.has_column_index and column.has_offset_index
+    found = token_file.read_tokens(spark, out, 1000, 1010)
+    assert sorted(r.doc_id for r in found.collect()) == list(range(1000, 1011))
+    plan = found._jdf.queryExecution().executedPlan()
+    leaf = plan.collectLeaves().head()
+    assert leaf.metrics().get("numOutputRows").get().value() < 1500
+
+
+def test_hot_ids_are_dealt(spark, library, tmp_path):
+    rows = [(None, f"text {i} of none") for i in range(300)] + [(7, f"text {i} of seven") for i in range(300)] + [(1, "a")] * 30
+    out = str(tmp_path / "hot")
+    token_file.write(spark.createDataFrame(rows, "doc_id long, text string"), out, public_tokenizers.path("byte_bpe_50k.json"))
+    got = sorted(token_file.digests(spark, out).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 300 + [1] * 30 + [7] * 300
+    crc = lambda t: zlib.crc32(u32(library["byte_bpe_50k.json"].encode(t, add_special_tokens=False).ids + [0]))
+    assert sorted(r.ids_crc32 for r in got) == sorted(crc(t) for _, t in rows)
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]]
+
+
+def test_very_long_texts(spark, library):
+    text = "The quick brown fox, and l'été — jumps 12 times over\n" * 30_000  # more than a chunk
+    docs = spark.createDataFrame([(1, text, "en"), (2, text[:-1] + "!", "en"), (3, "short", "en")], "doc_id long, text string, lang string")
+    path, t = public_tokenizers.path("word_bpe_49k.json"), library["word_bpe_49k.json"]
+    ids = {r.doc_id: r for r in token_codec.digests(docs, path).collect()}
+    assert ids[1].ids_sha256 == hashlib.sha256(u32(t.encode(text, add_special_tokens=False).ids)).hexdigest()
+    assert sum(r.length for r in packing.pack(docs, path).collect()) == sum(r.n_tokens for r in ids.values()) + 3
+    rules = {r.doc_id: r for r in quality_rules.apply_rules(docs, [public_tokenizers.path("byte_bpe_50k.json")]).collect()}
+    assert (rules[1].n_words, rules[1].n_dup_lines) == (330_000, 29_999)
+    assert len({r.component_id for r in simhash.near_duplicates(docs).where("doc_id < 3").collect()}) == 1
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {1, 3}
+    assert {r.n_chars for r in winnow.compare_edited(docs).collect()} == {len(text), 5}
+    field = language_id.train(docs, F.lit(True))
+    assert {r.lang_pred for r in language_id.identify(docs, field).collect()} == {"en"}
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    repeated = docs.unionByName(docs.where("doc_id = 3")).unionByName(docs.where("doc_id = 3"))
+    scores = quality_classifier.score(repeated, quality_classifier.train(repeated, labels, F.lit(True))).collect()
+    assert len(scores) == 5 and len({r.score for r in scores if r.doc_id == 3}) == 1
+
+
 def test_op9_packs_every_piece_once(docs, library):
     t = library["word_bpe_49k.json"]
     rows = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
