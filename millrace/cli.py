@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from millrace import schemas
-from millrace.operators import contenders, dataset, farm, gate, ledger, metrics, report, taskpool
+from millrace.operators import contenders, dataset, farm, gate, ledger, metrics, report, taskpool, windowing
 from millrace.sources.records import Config, iter_tasks, write_manifest
 
 
@@ -23,6 +23,10 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     p.add_argument("--split", default="all")
     p.add_argument("--limit", type=int)
     p.add_argument("--seeds", default="0")
+    p.add_argument("--seed", type=int, default=0, help="of the teacher's draws")
+    p.add_argument("--shard", type=int, default=0, help="which of the farms this is; each writes its own folder")
+    p.add_argument("--shards", type=int, default=1)
+    p.add_argument("--strategies", help="windowing strategies to compile, by comma")
     return p.parse_args(argv)
 
 
@@ -38,21 +42,23 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
         out = report.table(taskpool.manifest_summary(tasks()))
     elif a.command == "farm":
         chosen = tasks().orderBy("task_id").limit(a.limit) if a.limit else tasks()
+        chosen = farm.of_shard(chosen, a.shard, a.shards)
         kinds = [r[0] for r in chosen.select("kind").distinct().collect()]
         name = a.teacher if a.teacher != "auto" else "url_repair" if kinds == ["url"] else "heuristic"
-        made, caps = contenders.teacher(name)(chosen, config.samples_per_task), config.caps
-        farm.capped(made, contenders.TURN_TOKENS[name], caps.max_steps, caps.max_requests, caps.max_tokens).write.mode("overwrite").parquet(at("runs"))
-        runs = spark.read.parquet(at("runs"))
+        made, caps = contenders.teacher(name)(chosen, config.samples_per_task, seed=a.seed), config.caps
+        farm.capped(made, contenders.TURN_TOKENS[name], caps.max_steps, caps.max_requests, caps.max_tokens).write.mode("overwrite").parquet(f"{at('runs')}/shard={a.shard}")
+        runs = spark.read.parquet(at("runs")).drop("shard")
         rows = runs.select(F.lit(0.0).alias("ts"), "run_id", "task_id", "teacher", "model", F.lit(1).alias("attempt"), F.col("tokens.prompt").alias("prompt_tokens"), F.col("tokens.completion").alias("completion_tokens"), "cost_usd", F.col("wall_s").alias("latency_s"), F.lit(None).cast("string").alias("error"))
         ledger.record(rows).write.mode("overwrite").parquet(at("ledger"))
-        out = report.table(runs.groupBy("exit").count())
+        out = report.table(farm.exit_counts(runs))
     elif a.command == "verify":
-        gate.verify(spark.read.parquet(at("runs")), spark.read.parquet(at("tasks"))).write.mode("overwrite").parquet(at("verdicts"))
+        gate.verify(spark.read.parquet(at("runs")).drop("shard"), spark.read.parquet(at("tasks"))).write.mode("overwrite").parquet(at("verdicts"))
         out = report.table(gate.histogram(spark.read.parquet(at("verdicts"))).orderBy("pos").drop("pos"))
     elif a.command == "compile":
         w = config.window
         options = {"windowed": {"keep_last": w.keep_last, "head": w.head}, "naive_truncated": {"keep_chars": w.keep_chars}}
-        dataset.write(dataset.build(spark.read.parquet(at("verdicts")), spark.read.parquet(at("runs")), spark.read.parquet(at("tasks")), **options), at("dataset"))
+        chosen = tuple(a.strategies.split(",")) if a.strategies else tuple(windowing.STRATEGIES)
+        dataset.write(dataset.build(spark.read.parquet(at("verdicts")), spark.read.parquet(at("runs")).drop("shard"), spark.read.parquet(at("tasks")), chosen, **options), at("dataset"))
         out = report.table(dataset.stats(spark.read.parquet(at("dataset"))))
     elif a.command == "ledger":
         book = spark.read.schema(schemas.LEDGER).parquet(at("ledger"))

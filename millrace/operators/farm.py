@@ -61,11 +61,27 @@ def tool_result(evidence: Column, index: Column) -> Column:
     return message("tool", F.when(known, F.get(evidence, index)["text"]).otherwise("error: index out of range"), index, known)
 
 
-def heuristic_runs(tasks: DataFrame, samples: int = 1) -> DataFrame:
-    """Runs (schema RUN) of the teacher that looks up to three items, one a turn, then guesses by word overlap."""
+# Fixed values, in the order in which they are shown.
+EXITS = ("answered", "step_cap", "request_cap", "teacher_error", "malformed")
+
+
+def exit_counts(runs: DataFrame) -> DataFrame:
+    """exit, n of the exits that there are, in their fixed order."""
+    order = F.array_position(F.array(*map(F.lit, EXITS)), F.col("exit"))
+    return runs.groupBy("exit").agg(F.count("*").alias("n")).withColumn("pos", order).orderBy("pos").drop("pos")
+
+
+def of_shard(tasks: DataFrame, shard: int, shards: int) -> DataFrame:
+    """The tasks that fall on one of several farms."""
+    return tasks if shards <= 1 else tasks.where(F.pmod(F.xxhash64("task_id"), F.lit(shards)) == shard)
+
+
+def heuristic_runs(tasks: DataFrame, samples: int = 1, seed: int = 0) -> DataFrame:
+    """Runs (schema RUN) of the teacher that looks up to three items, one a turn, then guesses by word overlap. Another
+    seed draws anew."""
     rows = tasks.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample_idx"))
     target = F.least(F.size("evidence"), F.lit(MAX_LOOKUPS - 1))
-    rows = rows.withColumn("run_id", F.concat_ws(":", "task_id", "sample_idx")).withColumn("target", target).withColumn("seed", stable_seed("guess", json_string(F.col("run_id"))))
+    rows = rows.withColumn("run_id", F.concat_ws(":", "task_id", "sample_idx")).withColumn("target", target).withColumn("seed", stable_seed("guess", json_string(F.col("run_id")), *([seed] if seed else [])))
     asked = F.sequence(F.lit(0), F.col("target") - 1)
     seen = F.array_join(F.transform(F.slice("evidence", F.lit(1), F.col("target")), lambda e: e["text"]), " ")
     rows = rows.withColumn("answer", guess(F.col("hypothesis"), seen, F.col("seed"))).withColumn("cite", asked)

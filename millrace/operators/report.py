@@ -31,9 +31,10 @@ def frontier_svg(df: DataFrame, x: str = "cost_per_resolved_task_usd", y: str =
 def write_all(folder: str, results: DataFrame, verdicts: DataFrame, book: DataFrame) -> list[str]:
     """Writes frontier.md, frontier.svg, histogram.md, bill.md and ablations.md to a folder at the driver."""
     summaries = metrics.summarize(results)
+    variants = tuple(r.variant for r in results.where("variant is not null").groupBy("variant").count().orderBy("variant").collect())  # a handful
     front = metrics.frontier(summaries)
     files = {
-        "frontier.md": table(front.drop("pos")) + "\n" + table(metrics.by_variant(results).orderBy("contender", "variant")),
+        "frontier.md": table(front.drop("pos")) + "\n" + table(metrics.variant_block(results, variants)),
         "frontier.svg": frontier_svg(front),
         "histogram.md": table(gate.histogram(verdicts).orderBy("pos").drop("pos")) + "\n" + table(gate.by_variant(verdicts).orderBy("variant")),
         "bill.md": table(ledger.summary(book)) + "\n" + table(ledger.efficiency(book, verdicts)),

@@ -386,6 +386,11 @@ def training_samples(spark, d):
     return s.select("sample_id", "task_id", "split", F.col("n_steps").cast("long").alias("n_steps"), F.col("n_tool_calls").cast("long").alias("n_tool_calls"), "variant", "label", "system_prompt_version", "chars", "trainable_chars", "tool_call_chars")
 
 
+@query(f"""WITH {_VERDICTS} SELECT CASE WHEN b <= 4 THEN 'teacher_error' WHEN b <= 8 THEN 'step_cap' WHEN b <= 12 THEN 'request_cap' ELSE 'answered' END AS "exit", count(*) AS n FROM final GROUP BY ALL""")
+def exit_counts(spark, d):
+    return farm.exit_counts(runs_and_tasks(spark, d)[0])
+
+
 @query("SELECT event_id, CASE WHEN event_id % 12 >= 8 THEN 'REQUEST_CAP' WHEN event_id % 1000 >= 700 THEN 'STEP_CAP' WHEN abs(value) >= 90 THEN 'STEP_CAP' END AS cap, event_id % 1000 * 0.5 / 1000 + event_id % 7 * 1.5 / 1000 AS usd FROM events")
 def request_caps(spark, d):
     k = F.col("event_id")

@@ -154,6 +154,7 @@ class Config:
     seed_salt: str = "seed"
     synth_fraction: float = 0.4
     samples_per_task: int = 1
+    variants: tuple[str, ...] = ()
     caps: Caps = field(default_factory=Caps)
     window: WindowOptions = field(default_factory=WindowOptions)
 

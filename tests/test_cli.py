@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from millrace import cli
@@ -15,9 +16,40 @@ def test_stages_follow_each_other(spark, tmp_path):
 
 def test_url_teacher_faults_are_caught(spark):
     tasks = taskpool.url_tasks(spark, 25, "t")
-    codes = lambda **k: {r.reason_code for r in gate.verify(contenders.url_repair_runs(tasks, **k), tasks).select("reason_code").distinct().collect()}
-    assert "VERIFIED_OK" not in codes(ungrounded_pct=100)
-    assert codes(echo_pct=100) <= {"UNSUPPORTED_ANSWER", "TRIVIAL_OUTPUT", "FORMAT_INVALID"}
+
+    def share(*codes, **k):
+        found = gate.verify(contenders.url_repair_runs(tasks, base_temperature=1.0, **k), tasks).select("reason_code").collect()
+        return sum(r.reason_code in codes for r in found) / len(found)
+
+    assert share("VERIFIED_OK") > 0.3
+    assert share("UNSUPPORTED_ANSWER", ungrounded_pct=100) > 0.8  # at most 95 of a hundred runs are faulty
+    assert share("UNSUPPORTED_ANSWER", "TRIVIAL_OUTPUT", echo_pct=100) > 0.8
+
+
+def test_url_teacher_splices_a_query(spark):
+    texts = ["https://docs.atlas.com/guide?id=2", "https://x.org/other?lang=en&page=7", "https://docs.atlas.com/blog"]
+    answer = lambda broken, n: spark.range(1).select(contenders.repaired(F.lit(broken), F.array(*map(F.lit, texts[:n])) if n else F.array().cast("array<string>"))).first()[0]
+    assert answer("docs.atlas.com/guide?id=2", 3) == texts[0]
+    assert answer("htps://docs.atlas.com/guide?lang=en&page=7", 3) == "https://docs.atlas.com/guide?lang=en&page=7"
+    assert answer("htps://docs.atlas.com/guide", 3) == texts[0] and answer("htps://docs.atlas.com/guide", 0) == "htps://docs.atlas.com/guide"
+    tasks = taskpool.url_tasks(spark, 30, "t", "compose")
+    runs = contenders.url_repair_runs(tasks, ungrounded_pct=100).collect()
+    assert {r.n_lookups for r in runs} == {1, 2, 3} and all(set(r.cite) - set(range(r.n_lookups)) for r in runs if r.temperature >= 0.8)
+    again = contenders.url_repair_runs(tasks, seed=5).collect()
+    assert [r.n_lookups for r in again] != [r.n_lookups for r in runs]
+
+
+def test_shards_and_contenders(spark, tmp_path):
+    cli.main(["taskpool", "--root", str(tmp_path)], spark)
+    for k in (0, 1):
+        said = cli.main(["farm", "--root", str(tmp_path), "--shard", str(k), "--shards", "2"], spark)
+    assert spark.read.parquet(f"{tmp_path}/runs").select("task_id").distinct().count() == spark.read.parquet(f"{tmp_path}/tasks").count()
+    assert "answered" in said and "VERIFIED_OK" in cli.main(["verify", "--root", str(tmp_path)], spark)
+    contenders.register("own", contenders.url_repair_runs)
+    assert contenders.contender("own") == (contenders.url_repair_runs, "local")
+    for name in ("own", "nobody"):
+        with pytest.raises(ValueError):
+            contenders.register(name, None) if name == "own" else contenders.contender(name)
 
 
 def test_evaluation(spark):
