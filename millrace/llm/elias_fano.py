@@ -11,6 +11,8 @@ import tempfile
 
 import numpy as np
 
+#: Successors of a context, and words asked of it, from which on its stretch is read.
+LONG = 64
 _BYTE = np.arange(256)[:, None] >> np.arange(8) & 1
 _ONES = _BYTE.sum(axis=1).astype(np.uint8)
 #: The place of the r-th one of every byte.
@@ -71,14 +73,27 @@ class EliasFano:
         return self.n
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        word = np.searchsorted(self.ones, i, side="right") - 1
-        high = 64 * word + _in_word(self.words[word], i - self.ones[word]) - i
+        word = self._words_of(i)
+        return self._value(64 * word + _in_word(self.words[word], i - self.ones[word]) - i, i)
+
+    def _value(self, high: np.ndarray, i: np.ndarray) -> np.ndarray:
         out = high.astype(np.uint64) << np.uint64(self.width)
         if self.width:
             bit = i * self.width
             out |= (self.lanes[bit >> 3] >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.width) - 1)
         return out
 
+    def stretch(self, low: int, high: int) -> np.ndarray:
+        """The values from place low up to high, read one after the other."""
+        first, last = self._words_of(np.array([low, high - 1]))
+        bits = np.unpackbits(self.words[first : last + 1].view(np.uint8), bitorder="little")
+        i = np.arange(low, high)
+        ones = np.flatnonzero(bits)[low - int(self.ones[first]) : high - int(self.ones[first])]
+        return self._value(64 * first + ones - i, i)
+
+    def _words_of(self, i: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ones, i, side="right") - 1
+
     def _smaller(self, h: np.ndarray) -> np.ndarray:
         """How many values have a high part below h (over 0): the place of the zero that ends h - 1, without the zeros."""
         out = np.full(len(h), self.n, np.int64)
@@ -133,7 +148,8 @@ class Trie:
     """Contexts, monotone pointers to their successors, successors relative to their context, and a code for each.
 
     Level 1 has the contexts in order. The successors of the context of rank k lie between pointers k and k + 1 of level
-    2, as (k, word), so that the whole level does not decrease; a search looks between the two pointers only.
+    2, as (k, word), so that the whole level does not decrease; a search looks between the two pointers only. Where
+    many words are asked of a context with many successors, these are read once, one after the other.
     """
 
     @staticmethod
@@ -174,7 +190,15 @@ class Trie:
         begin, end = np.zeros((2, len(asked)), np.int64)
         begin[known] = self.pointers[rank[known]].astype(np.int64)
         end[known] = self.pointers[rank[known] + 1].astype(np.int64)
-        of = np.repeat(np.arange(len(asked)), np.diff(np.append(fresh, len(context))))
+        asks = np.diff(np.append(fresh, len(context)))
+        for k in np.flatnonzero((end - begin > LONG) & (asks > LONG)).tolist():  # much asked of one context
+            values = self.words.stretch(int(begin[k]), int(end[k]))
+            x = np.uint64(rank[k]) << self.bits | word[fresh[k] : fresh[k] + asks[k]]
+            place = np.minimum(np.searchsorted(values, x), len(values) - 1)
+            hit = np.flatnonzero(values[place] == x)
+            out[fresh[k] + hit] = self.codes[begin[k] + place[hit]]
+            rank[k] = -1
+        of = np.repeat(np.arange(len(asked)), asks)
         at = np.flatnonzero(rank[of] >= 0)
         of = of[at]
         place = self.words.find(rank[of].astype(np.uint64) << self.bits | word[at], begin[of], end[of])

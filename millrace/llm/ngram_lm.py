@@ -134,13 +134,13 @@ def score(docs: DataFrame, learn: Column, share: float = SHARE) -> DataFrame:
         keys, counts = added(keys[known], counts[known])
         below = keys[0] if len(keys) else np.uint64(0)
         level = EliasFano(mapped(EliasFano.encode(keys - below, int(keys[-1] - below) + 1 if len(keys) else 1)))
-        out = []
-        for x in asked:
-            q = unpack_sorted(x)
-            at = np.full(len(q), -1, np.int64)
-            inside = np.flatnonzero((q >= below) & (q <= keys[-1])) if len(keys) else np.zeros(0, np.int64)
-            at[inside] = level.find(q[inside] - below)
-            out.append(pack_counts(np.where(at >= 0, counts[at] if len(counts) else 0, 0)))
+        asked = [unpack_sorted(x) for x in asked]
+        u, which = np.unique(np.concatenate(asked), return_inverse=True)  # what many blocks ask is looked up once
+        at = np.full(len(u), -1, np.int64)
+        inside = np.flatnonzero((u >= below) & (u <= keys[-1])) if len(keys) else np.zeros(0, np.int64)
+        at[inside] = level.find(u[inside] - below)
+        found = (np.where(at >= 0, counts[at], 0) if len(counts) else np.zeros(len(u), np.int64))[which]
+        out = [pack_counts(x) for x in np.split(found, np.cumsum([len(q) for q in asked])[:-1])]
         rest = [0] * (len(out) - 1)
         return pa.table({"block": table.column("block"), "shard": table.column("shard"), "answer": pa.array(out, pa.binary()), "n": pa.array([int(counts.sum()), *rest], pa.int64()), "v": pa.array([len(keys), *rest], pa.int64())})
 
@@ -209,10 +209,10 @@ def score(docs: DataFrame, learn: Column, share: float = SHARE) -> DataFrame:
         smoothed = share * times / np.maximum(contexts[one], 1) + (1 - share) * dequantised(1 / normal)[alone[one]]
         low = np.uint64((1 << bits) - 1)
         trie = Trie(mapped(Trie.encode(keys >> np.uint64(bits), keys & low, quantise(np.minimum(smoothed, 1), least), bits)))
-        out = []
-        for x in asked:
-            q = unpack_sorted(x)
-            out.append(trie.lookup(q >> np.uint64(bits), q & low).tobytes())
+        asked = [unpack_sorted(x) for x in asked]
+        u, which = np.unique(np.concatenate(asked), return_inverse=True)  # what many blocks ask is looked up once
+        codes = trie.lookup(u >> np.uint64(bits), u & low)[which]
+        out = [x.tobytes() for x in np.split(codes, np.cumsum([len(q) for q in asked])[:-1])]
         return pa.table({"block": table.column("block"), "shard": table.column("shard"), "answer": pa.array(out, pa.binary())})
 
     def add_up(texts: pa.Table, answers: pa.Table) -> pa.Table:

@@ -705,10 +705,14 @@ def test_elias_fano():
         assert e.successor(q, low, high).tolist() == [a + int(np.searchsorted(v[a:b], x)) for x, a, b in zip(q, low, high)]
     pair = np.unique(rng.integers(0, 1 << 28, 3000)).astype(np.uint64)
     code = rng.integers(1, 256, len(pair))
-    trie = Trie(mapped(Trie.encode(pair >> np.uint64(20), pair & np.uint64((1 << 20) - 1), code, 20)))
     known = dict(zip(pair.tolist(), code.tolist()))
-    q = np.concatenate([pair, rng.integers(0, 1 << 28, 3000).astype(np.uint64)])
-    assert trie.lookup(q >> np.uint64(20), q & np.uint64((1 << 20) - 1)).tolist() == [known.get(x, 0) for x in q.tolist()]
+    for bits in (20, 26):  # many contexts with few successors, few with many
+        b, low = np.uint64(bits), np.uint64((1 << bits) - 1)
+        trie = Trie(mapped(Trie.encode(pair >> b, pair & low, code, bits)))
+        q = np.concatenate([pair, rng.integers(0, 1 << 28, 3000).astype(np.uint64)])
+        for asked in (q, np.unique(np.concatenate([q, rng.integers(0, 1 << 28, 30_000).astype(np.uint64)]))):
+            assert trie.lookup(asked >> b, asked & low).tolist() == [known.get(x, 0) for x in asked.tolist()]
+        assert (trie.words.stretch(100, 1700) == trie.words[np.arange(100, 1700)]).all()
 
 
 def test_packed_numbers():
