@@ -64,6 +64,11 @@ def _rebuilt(p: Column, whole: bool) -> Column:
     return F.concat(location, F.when(p["query"] == "", "").otherwise(F.concat(F.lit("?"), p["query"])), F.when(p["fragment"] == "", "").otherwise(F.concat(F.lit("#"), p["fragment"])))
 
 
+def _whole(p: Column) -> Column:
+    """The canonical form of parsed parts; of what can't be parsed, the decoded text in lower case."""
+    return F.when(p["valid"], _rebuilt(p, True)).otherwise(F.lower(strip(unquote(p["bare"]))))
+
+
 def forms(url: Column) -> Column:
     """A struct of location (scheme, host and path), whole and query of the canonical form; all empty for an empty URL."""
 
@@ -120,13 +125,14 @@ def compose(base: Column, donor: Column) -> Column:
 
 
 def relevance(damaged: Column, candidate: Column) -> Column:
-    """How like a candidate is to a damaged URL: host, path words, parameter names and length."""
-    words = lambda p: F.array_distinct(F.filter(F.split(p["path"], "/"), lambda x: x != ""))
+    """How like a candidate is to a damaged URL, both in canonical form: host, path words, parameter names and length."""
+    words = lambda p: F.array_distinct(F.regexp_extract_all(p["path"], F.lit("[a-z0-9]+"), F.lit(0)))
     names = lambda p: F.array_distinct(F.filter(F.transform(F.split(p["query"], "&"), lambda x: F.substring_index(x, "=", 1)), lambda x: x != ""))
-    near = (60 - F.least(F.abs(F.length(damaged) - F.length(candidate)), F.lit(60))) / 60
+    size = lambda p: F.length(_whole(p))
 
     def score(a: Column, b: Column) -> Column:
-        host = F.when(a["netloc"] == b["netloc"], 2.0).otherwise(0.4 * jaccard(letters(a["netloc"]), letters(b["netloc"])))
+        near = (60 - F.least(F.abs(size(a) - size(b)), F.lit(60))) / 60
+        host = F.when((a["netloc"] == b["netloc"]) & (a["netloc"] != ""), 2.0).otherwise(0.4 * jaccard(letters(a["netloc"]), letters(b["netloc"])))
         return host + 1.5 * jaccard(words(a), words(b)) + 1.2 * jaccard(names(a), names(b)) + 0.5 * near
 
     return let(parts(damaged), lambda a: let(parts(candidate), lambda b: score(a, b)))

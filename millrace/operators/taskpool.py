@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import claims, urls
 from millrace.functions.hashing import canonical_json, content_id, draw, split_of, stable_seed, task_identity, json_string
-from millrace.functions.text import jaccard, let, negate, split_units, word_set
+from millrace.functions.text import let, negate, split_units, word_set
 
 TRAP_UNITS = 3
 LEAST_LIKENESS = 0.15
@@ -209,11 +209,11 @@ def url_tasks(spark, n: int, salt: str, variant: str = "pick", eval_pct: int = 2
         made = made.withColumn("gold_url", F.col("url"))
         listed = F.array("url", *near)
     made = made.withColumn("candidates", F.array_distinct(listed)).select("id", "seed", "url", "gold_url", "candidates")
-    tried = made.select("id", "seed", "url", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("attempt")).withColumn("draw", draw(F.col("seed"), "try") + F.col("attempt"))
+    tried = made.select("*", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("attempt")).withColumn("draw", draw(F.col("seed"), "try") + F.col("attempt"))
     tried = tried.withColumn("kinds", urls.sample_kinds(F.col("draw"), names)).withColumn("broken", urls.corrupt(F.col("url"), F.col("kinds"), F.col("draw")))
     damaged = tried.where(urls.normalize(F.col("broken")) != urls.normalize(F.col("url")))
-    first = damaged.groupBy("id").agg(F.min(F.struct("attempt", "broken", "kinds")).alias("r")).select("id", "r.broken", "r.kinds")
-    whole = first.join(made, "id")
+    of = ["id", "seed", "url", "gold_url", "candidates"]
+    whole = damaged.groupBy(*of).agg(F.min(F.struct("attempt", "broken", "kinds")).alias("r")).select(*of, "r.broken", "r.kinds")
     if composed:
         whole = whole.where(~F.array_contains("candidates", F.col("gold_url")))
     ordered = whole.withColumn("evidence", evidence(order_candidates(F.col("broken"), F.col("candidates"), F.col("seed")))).withColumn("corruptions", urls.landed(F.col("url"), F.col("kinds")))

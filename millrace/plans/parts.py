@@ -152,9 +152,9 @@ def _jaccard(a: str, b: str) -> str:
 def _relevance(a: str, b: str) -> str:
     x, y = _forms(a), _forms(b)
     chars = lambda v: f"list_distinct(string_split({v}, ''))"
-    path = lambda v: f"list_distinct(list_filter(string_split(CASE WHEN {v} = '' THEN '/' ELSE {v} END, '/'), lambda p: p <> ''))"
+    path = lambda v: f"list_distinct(regexp_extract_all({v}, '[a-z0-9]+'))"
     host = f"CASE WHEN {x['netloc']} = {y['netloc']} THEN 2.0 ELSE 0.4 * {_jaccard(chars(x['netloc']), chars(y['netloc']))} END"
-    return f"({host} + 1.5 * {_jaccard(path(x['path']), path(y['path']))} + 1.2 * {_jaccard(x['names'], y['names'])} + 0.5 * (60 - least(abs(length({a}) - length({b})), 60)) / 60.0)"
+    return f"({host} + 1.5 * {_jaccard(path(x['path']), path(y['path']))} + 1.2 * {_jaccard(x['names'], y['names'])} + 0.5 * (60 - least(abs(length({x['whole']}) - length({y['whole']})), 60)) / 60.0)"
 
 
 @query(f"WITH {_PAIRED} SELECT page_id, round({_relevance('url', 'other')}, 9) AS score FROM paired")
@@ -172,7 +172,6 @@ def _draw(seed: str, salt: str) -> str:
     return _seed(f"'[' || {seed} || ',\"{salt}\"]'")
 
 
-_REST = "regexp_replace(regexp_extract({u}, '^.*?://(.*)$', 1), '\\?.*$', '')"
 _DAMAGES = {
     "drop_scheme": "regexp_replace({u}, '(?i)^[a-z]+://', '')",
     "drop_www": "regexp_replace({u}, '(?i)://www\\.', '://')",
@@ -326,7 +325,6 @@ def claim_tasks(spark, d):
     return t.select("task_id", "split", "prompt_variant", "transform_applied", "article_id", F.col("source_index").cast("long").alias("source_index"), "claim", "label", F.array_join(F.transform("evidence", lambda e: e["text"]), "|").alias("evidence"), F.array_join(F.col("support_positions").cast("array<string>"), ",").alias("support"))
 
 
-_LABELLED = "CASE doc_id % 4 WHEN 0 THEN 'entailment' WHEN 1 THEN 'neutral' WHEN 2 THEN 'contradiction' ELSE '-' END"
 _PAIRS = f"pairs AS (SELECT doc_id AS source_id, trim(array_to_string(units, ', ')) AS premise, trim(units[1]) AS hypothesis, CASE doc_id % 4 WHEN 0 THEN 'entailed' WHEN 3 THEN NULL ELSE 'not_entailed' END AS label FROM units), usable AS (SELECT * FROM (SELECT p.*, u.units FROM pairs p JOIN (SELECT doc_id, units FROM again) u ON u.doc_id = p.source_id) WHERE label IS NOT NULL AND premise <> '' AND hypothesis <> '' AND len(units) >= 2 QUALIFY row_number() OVER (PARTITION BY premise, hypothesis ORDER BY source_id) = 1)"
 _AGAIN = _UNITS.replace("units AS (", "again AS (", 1).replace("FROM documents", "FROM (SELECT doc_id, lang, trim(array_to_string(units, ', ')) AS text FROM units)")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import claims, text, urls
-from millrace.functions.hashing import content_id, json_string, split_of, stable_seed
+from millrace.functions.hashing import content_id, split_of, stable_seed
 from millrace.operators import dataset, gate, ledger, metrics, render, taskpool, tokenizer, training, windowing
 from millrace.plans import adapters
 from millrace.plans.adapters import table
