@@ -302,5 +302,5 @@ def linked_nodes(docs: DataFrame, size: int, least: float, near: DataFrame | Non
     rest = candidates(found, False)
     links.append(verified(rest.join(first, ["a", "b"], "left_anti")))
     out = components(reduce(DataFrame.unionByName, links))
-    discard(rows, sets, first, rest, found, *links)
+    discard(rows, sets, first, rest, found, *links, *([pairs] if pairs is not None else []))
     return out
