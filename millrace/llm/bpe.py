@@ -186,7 +186,10 @@ class BytePairEncoder:
             last = np.zeros(len(symbols), bool)
             ends = np.cumsum(lengths)
             last[ends - 1] = True
-            now = np.union1d(at, at[at > 0] - 1)
+            near = np.zeros(len(symbols), bool)
+            near[at] = True
+            near[at[at > 0] - 1] = True
+            now = np.flatnonzero(near)
             inner = now[~last[now]]
             rank[now] = _NONE
             rank[inner] = self._rank(symbols[inner], symbols[inner + 1])
