@@ -6,8 +6,8 @@ sequence has a directory, the number of ones before every 64 bits (half a bit a
 
 from __future__ import annotations
 
+import mmap
 import struct
-import tempfile
 
 import numpy as np
 
@@ -136,12 +136,12 @@ class EliasFano:
 
 
 def mapped(blob: bytes) -> np.ndarray:
-    """The bytes as a memory-mapped file without a name, which goes with its last reader. It is the task's own scratch:
-    a task that is run again writes its own."""
-    with tempfile.TemporaryFile() as f:
-        f.write(blob)
-        f.flush()
-        return np.memmap(f, np.uint8, "r") if blob else np.zeros(0, np.uint8)
+    """The bytes in a memory map of the task's own, without a file or folder; it goes with its last reader."""
+    if not blob:
+        return np.zeros(0, np.uint8)
+    pages = mmap.mmap(-1, len(blob))
+    pages.write(blob)
+    return np.frombuffer(pages, np.uint8)
 
 
 class Trie:

@@ -46,13 +46,14 @@ def spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray
         label = joined(label, a[pick], b[pick])
 
 
-def tiled(rows: DataFrame, most: int = MOST_TOGETHER) -> DataFrame:
+def tiled(rows: DataFrame, most: int | None = None) -> DataFrame:
     """The rows (key, node, ...) in groups of (key, tile): any two rows of a key meet in one of its tiles.
 
-    Most keys have one tile. A key of more than ``most`` rows is dealt into parts by its nodes and has a tile for every
+    Most keys have one tile. A key of more than ``most`` rows (MOST_TOGETHER) is dealt into parts by its nodes and has a tile for every
     two of them, so no group has many more than twice ``most`` rows, however many rows have the key. Rows come
     partitioned and sorted by (key, tile, node).
     """
+    most = most or MOST_TOGETHER
     often = rows.groupBy("key").count().where(F.col("count") > most)
     hot = cut(often.select("key", F.ceil(F.col("count") / most).cast("int").alias("parts")))
     if hot.isEmpty():

@@ -10,6 +10,7 @@ them finds odd stays.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -130,7 +131,7 @@ class Fertility:
     @staticmethod
     def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         at = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
-        return np.fromiter((i for x in lists for i in x), np.int64, int(at[-1])), at
+        return np.fromiter(chain.from_iterable(lists), np.int64, int(at[-1])), at
 
     def measure(self, texts: list[str]) -> dict[str, np.ndarray]:
         """n_tokens, chars_per_token, byte_share, token_entropy (all 0 for a text without tokens)."""
@@ -169,13 +170,15 @@ def apply_rules(docs: DataFrame, vocabularies: list[str], languages: dict[str, d
             if path not in _fertility:
                 _fertility[path] = Fertility(path)
         for rows, texts in chunks(batches):
-            counts, langs, script = text_counts(texts), rows.column("lang").to_pylist(), scripts(texts).tolist()
+            counts, langs = text_counts(texts), rows.column("lang").to_pylist()
+            strange = [i for i, x in enumerate(langs) if any(x not in languages.get(_fertility[path].name, {}) for path in vocabularies)]
+            script = dict(zip(strange, scripts([texts[i] for i in strange]).tolist()))
             failed = (counts["n_words"] < LEAST_WORDS) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
             fits, measures = np.zeros(len(texts), bool), {}
             for k, path in enumerate(vocabularies):
                 own = languages.get(_fertility[path].name, {})
                 m = _fertility[path].measure(texts)
-                band = np.array([own.get(x) or ordered[s] for x, s in zip(langs, script)])
+                band = np.array([own[x] if x in own else ordered[script[i]] for i, x in enumerate(langs)])
                 fits |= (m["chars_per_token"] >= band[:, 0]) & (m["chars_per_token"] <= band[:, 1]) & (m["byte_share"] <= band[:, 2]) & (m["token_entropy"] >= band[:, 3])
                 measures |= {name + (f"_{k + 1}" if k else ""): v for name, v in m.items()}
             yield from pa.table({"doc_id": rows.column("doc_id"), **counts, "base_failed": failed, "kept": ~failed & fits, **measures}).to_batches()

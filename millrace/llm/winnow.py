@@ -129,7 +129,8 @@ def compare_edited(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> D
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
     document in ascending doc_id (after the last: the first); near_* are likenesses to it and to the next document.
     Fingerprints are digests of the chosen hashes with their places. A null text is empty, null doc_ids come first,
-    rows with equal doc_ids are ordered by text, a table of one row is followed by itself. Other columns are not read.
+    rows with equal doc_ids are ordered by text and lie in one task, a table of one row is followed by itself, an empty
+    one gives no rows. Very long texts are read whole. doc_ids are longs. Other columns are not read.
     """
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))

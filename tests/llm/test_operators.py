@@ -315,7 +315,6 @@ def test_pipeline_keeps_one_of_five_word_near_copies(spark, monkeypatch):
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == expected
     assert len({r.component_id for r in simhash.near_duplicates(docs).collect()}) > len(expected)
     monkeypatch.setattr(graph, "MOST_TOGETHER", 5)
-    monkeypatch.setattr(graph.tiled, "__defaults__", (5,))
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == expected
     clash = docs.selectExpr("doc_id", "text", "doc_id % 2 AS node", "'m' AS _mark", "1 AS component")
     assert simhash.keep_one(clash).columns == clash.columns and {r.doc_id for r in simhash.keep_one(clash).collect()} == expected
