@@ -45,6 +45,15 @@ def discard(*tables: DataFrame | str) -> None:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Bytes of text that one shuffle partition has at most, where an operator says how many there are.
+PARTITION_BYTES = 128 << 20
+
+
+def partitions(spark: SparkSession, size: int) -> int:
+    """As many shuffle partitions as the session sets, or more for a corpus of so many bytes that they would be large."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

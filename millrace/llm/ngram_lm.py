@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._spark import cut, id_type
+from millrace.llm._spark import cut, id_type, partitions
 from millrace.llm._text import lower_ascii, mix64, span_hash, utf8, words
 from millrace.llm.elias_fano import EliasFano, Trie, mapped
 from millrace.llm.packed import added, borders, pack_counts, pack_runs, pack_sorted, sent, unpack_counts, unpack_runs, unpack_sorted
@@ -95,8 +95,8 @@ def score(docs: DataFrame, learn: Column, share: float = SHARE) -> DataFrame:
     not read.
     """
     spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = partitions(spark, size)
     shards = max(tasks, -(-size // _grown(SHARD_BYTES, MOST_SHARD_BYTES, size)))
     blocks = max(tasks, -(-size // _grown(BLOCK_BYTES, MOST_BLOCK_BYTES, size)))
     bits = min(32, max(16, -(-(max(size, 1).bit_length() + 18) // 2)))
@@ -145,7 +145,7 @@ def score(docs: DataFrame, learn: Column, share: float = SHARE) -> DataFrame:
         return pa.table({"block": table.column("block"), "shard": table.column("shard"), "answer": pa.array(out, pa.binary()), "n": pa.array([int(counts.sum()), *rest], pa.int64()), "v": pa.array([len(keys), *rest], pa.int64())})
 
     asked = dealt.groupBy("block").applyInArrow(ask_words, "shard int, block int, keys binary, counts binary")
-    replies = cut(asked.groupBy("shard").applyInArrow(answer_words, "block int, shard int, answer binary, n long, v long"))
+    replies = cut(asked.repartition(tasks, "shard").groupBy("shard").applyInArrow(answer_words, "block int, shard int, answer binary, n long, v long"))
     total, distinct = replies.agg(F.sum("n"), F.sum("v")).first()
     total, normal = total or 0, (total or 0) + (distinct or 0) + 1
     least = (1 - share) / normal
@@ -236,6 +236,6 @@ def score(docs: DataFrame, learn: Column, share: float = SHARE) -> DataFrame:
         )
 
     asked = dealt.groupBy("block").cogroup(by_block).applyInArrow(ask_pairs, "shard int, block int, keys binary, counts binary, alone binary, contexts binary")
-    codes = asked.groupBy("shard").applyInArrow(answer_pairs, "block int, shard int, answer binary")
+    codes = asked.repartition(tasks, "shard").groupBy("shard").applyInArrow(answer_pairs, "block int, shard int, answer binary")
     both = replies.select("block", "shard", "answer", F.lit(1).alias("level")).unionByName(codes.withColumn("level", F.lit(2)))
     return dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(add_up, f"doc_id {id_type(docs)}, n_tokens long, n_known long, train_tokens long, base_score double, score double")

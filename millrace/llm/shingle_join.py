@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._spark import cut, discard
+from millrace.llm._spark import cut, discard, partitions
 from millrace.llm._text import chunks, mix64
 from millrace.llm.graph import bounds, components, spanning, tiled, whole_groups
 from millrace.llm.packed import added, borders, pack_counts, pack_sorted, sent, unpack_counts, unpack_sorted
@@ -96,9 +96,8 @@ def _prefixes(docs: DataFrame, size: int, t: int) -> DataFrame:
     Texts are dealt into blocks; a block asks shards of shingles how many sets have each of its own (keys of as many
     bits as hardly collide; a collision only moves both shingles back in the order), and is answered a byte a key.
     """
-    spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = partitions(docs.sparkSession, total)
     blocks, shards = max(tasks, -(-total // BLOCK_BYTES)), max(tasks, -(-total // SHARD_BYTES))
     bits = min(64, max(32, total.bit_length() + 13))
     edges = borders(shards, bits)
@@ -153,7 +152,7 @@ def _prefixes(docs: DataFrame, size: int, t: int) -> DataFrame:
 
     dealt = docs.select("text").mapInArrow(first_ones, "node long, text string, block long").repartition(tasks, "block")
     asked = dealt.groupBy("block").applyInArrow(ask, "shard long, block long, keys binary, counts binary")
-    replies = asked.groupBy("shard").applyInArrow(answer, "block long, shard long, answer binary")
+    replies = asked.repartition(tasks, "shard").groupBy("shard").applyInArrow(answer, "block long, shard long, answer binary")
     return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(emit, "key long, node long, n int, place int")
 
 
