@@ -11,6 +11,8 @@ from millrace.plans import adapters
 from millrace.plans.adapters import table
 from millrace.plans.queries import _CLAIM, _TASKS, _TOKEN, _UNITS, _VERDICTS, _VOCAB, _lower_first, _seed, _split, _strip, _word_set, query, runs_and_tasks, scratch
 from millrace.sources import records
+from millrace.sources.paged import paged_source
+from millrace.streaming.ingest import ingest, record_stream
 
 
 def _q(x: str) -> str:
@@ -465,3 +467,49 @@ def skipped_samples(spark, d):
 @query(f"SELECT doc_id, {_draw('doc_id', 'x')} AS drawn FROM documents")
 def draws(spark, d):
     return table(spark, d, "documents").select("doc_id", draw(F.col("doc_id"), "x").alias("drawn"))
+
+
+@query(f"""WITH {_VERDICTS}, x AS (SELECT v.*, r.doc_id, r.target FROM verdicts v JOIN (SELECT run_id, doc_id, target FROM runs) r USING (run_id)), s AS (SELECT x.*, f.b FROM x JOIN (SELECT run_id, b FROM final) f USING (run_id))
+SELECT run_id, CASE reason_code WHEN 'UNSUPPORTED_ANSWER' THEN (CASE WHEN b BETWEEN 23 AND 27 THEN 'citation_not_retrieved' ELSE 'negation_conflict' END) WHEN 'TRIVIAL_OUTPUT' THEN 'no_reasoning_before_first_tool_call' END AS why,
+  CASE WHEN reason_code = 'TEST_FAIL' THEN predicted END AS said, CASE WHEN reason_code = 'TEST_FAIL' THEN gold END AS asked, CASE WHEN reason_code = 'FORMAT_INVALID' THEN 'missing_ANSWER_line' END AS parse_error,
+  CASE WHEN reason_code = 'STEP_CAP' THEN (target + 1)::VARCHAR END AS steps, CASE WHEN reason_code = 'REQUEST_CAP' THEN (target + 1)::VARCHAR END AS requests, CASE WHEN reason_code = 'LABEL_LEAK' THEN gold END AS label, CASE WHEN reason_code = 'NO_TOOL_CALL' THEN '[]' END AS retrieved,
+  reason_code <> 'FORMAT_INVALID' AS parsed, NOT b BETWEEN 18 AND 22 AS tool_called, reason_code <> 'LABEL_LEAK' AS no_leak, reason_code <> 'TEST_FAIL' AS label_match FROM s""")
+def gate_details(spark, d):
+    v = gate.verify(*runs_and_tasks(spark, d))
+    of = lambda k, name=None: F.col("detail")[k].alias(name or k)
+    return v.select("run_id", of("why"), of("predicted", "said"), of("gold", "asked"), of("parse_error"), of("steps"), of("requests"), of("label"), of("retrieved"), "checks.parsed", "checks.tool_called", "checks.no_leak", "checks.label_match")
+
+
+@query("SELECT event_id, event_id % 100 + event_id % 7 AS tokens, round(abs(value) / 3, 6) AS cost_usd, round(abs(value) / 7, 3) AS latency_s FROM events")
+def ledger_rows(spark, d):
+    k, v = F.col("event_id"), F.abs("value")
+    return ledger.record(table(spark, d, "events").select("event_id", (k % 100).alias("prompt_tokens"), (k % 7).alias("completion_tokens"), (v / 3).alias("cost_usd"), (v / 7).alias("latency_s"))).select("event_id", "tokens", "cost_usd", "latency_s")
+
+
+@query(f"""WITH {_VERDICTS}, ok AS (SELECT task_id FROM verdicts WHERE reason_code = 'VERIFIED_OK')
+SELECT {_split('task_id')} AS split, w AS windowing, count(*) AS n FROM ok, (SELECT unnest(['full_context', 'windowed']) AS w) GROUP BY ALL""")
+def samples_written(spark, d):
+    runs, tasks = runs_and_tasks(spark, d)
+    path = scratch(spark, "samples")
+    dataset.write(dataset.build(gate.verify(runs, tasks), runs, tasks, ("full_context", "windowed")), path)
+    return spark.read.parquet(path).groupBy("split", "windowing").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT event_id, event_type FROM events")
+def stream_records(spark, d):
+    """JSON lines, every third one twice, as a stream with one row an id, written until nothing is left and read back."""
+    folder = scratch(spark, "records")
+    rows = table(spark, d, "events").select("event_id", "event_type")
+    rows.unionByName(rows.where("event_id % 3 = 0")).write.json(f"{folder}/in")
+    schema = "event_id long, event_type string"
+    ingest(record_stream(spark, f"{folder}/in", schema, "event_id"), f"{folder}/rows", f"{folder}/state").awaitTermination()
+    return spark.read.schema(schema).parquet(f"{folder}/rows")
+
+
+@query("SELECT n, n * n AS square FROM (SELECT unnest(range((SELECT count(*) FROM supplier))) AS n)")
+def paged_rows(spark, d):
+    """Rows of a paged service, as many as there are suppliers."""
+    total = table(spark, d, "supplier").count()
+    fetch = lambda offset, length: [(i, i * i) for i in range(offset, offset + length)]
+    spark.dataSource.register(paged_source("squares", "n long, square long", fetch, total, page=7, pages_per_task=3))
+    return spark.read.format("squares").load()
