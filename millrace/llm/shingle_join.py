@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm._spark import cut, discard, partitions
-from millrace.llm._text import chunks, mix64
+from millrace.llm._text import chunks, mix64, release
 from millrace.llm.graph import bounds, components, spanning, tiled, whole_groups
 from millrace.llm.packed import added, borders, pack_counts, pack_sorted, sent, unpack_counts, unpack_sorted
 from millrace.llm.shingles import hashes
@@ -36,7 +36,7 @@ BITS = 512
 BLOCK_BYTES, SHARD_BYTES = 4 << 20, 32 << 20
 _SLOT_BITS = (1 << 23) - 1
 #: Pairs compared at once.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 17
 #: Groups of more rows are handed on whole; of smaller ones, only rows that another may be alike.
 _SIFTED = 4096
 #: Nodes that a task remembers to have sent.
@@ -116,6 +116,7 @@ def _prefixes(docs: DataFrame, size: int, t: int) -> DataFrame:
             yield from pa.table({"node": node[new], "text": [texts[i] for i in new], "block": (node[new] % blocks).astype(np.int64)}).to_batches(max_chunksize=1000)
 
     def block_sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        release()  # what the block before has used
         node, first = np.unique(table.column("node").to_numpy(), return_index=True)
         texts = table.column("text").to_pylist()
         h, offsets, _ = shingle_sets([texts[i] for i in first.tolist()], size)

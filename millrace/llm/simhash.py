@@ -113,7 +113,7 @@ def linked(fp: np.ndarray, near: int = NEAR_BITS) -> np.ndarray:
     n = len(fp)
     label = np.arange(n)
     if n <= BLOCK_GROUP:
-        step = max(1, (1 << 20) // n)
+        step = max(1, (1 << 18) // n)
         for i in range(0, n, step):
             a, b = np.nonzero(np.bitwise_count(fp[i : i + step, None] ^ fp[None, :]) <= near)
             label = joined(label, a + i, b)
