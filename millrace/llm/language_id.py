@@ -6,11 +6,14 @@ training words that hash as it does. Learned weights of these and learned transi
 one chain of a text's words; forward-backward gives each word's distribution over languages, so text that switches
 language is labelled word by word. A text's language is the one with the largest share of its letters. Chains are
 worked on in blocks of BLOCK_WORDS words side by side; what a block does to the messages that come from before and
-behind is a matrix, and these carry the messages over all blocks, so a long text is still one chain.
-
-The lexicon counts every word of every training document. Weights and transitions are fitted on a bounded sample of
-SAMPLE_DOCS documents a language, in stretches of BLOCK_WORDS words, some of them joined from two languages. At most
-MOST_LANGUAGES languages are learned, those that most training documents have.
+behind is a matrix, and these carry the messages over all blocks, so a long text is still one chain. With more than
+BLOCK_LANGUAGES languages such matrices would cost more than the chain itself: texts are then gone through word by word,
+all texts side by side, forward once and backward once, and only some steps of them are held at a time.
+
+Every language that a training document has is learned. The lexicon counts every word of every training document.
+Weights and transitions are fitted on a sample of SAMPLE_DOCS documents a language, of each at most its first
+SAMPLE_CHARS characters, in stretches of BLOCK_WORDS words, some of them joined from two languages. A language takes
+1 MB of the model, which the driver and every worker hold.
 """
 
 from __future__ import annotations
@@ -27,10 +30,13 @@ from millrace.llm._sums import keep_rows, summed
 from millrace.llm._text import chunks, code_points, mix64, span_hash
 
 BLOCK_WORDS = 64
-#: Documents of a language that the weights are fitted on, and the most characters that one of them may have.
+#: Documents of a language that the weights are fitted on, and the characters that are read of one of them.
 SAMPLE_DOCS = 300
 SAMPLE_CHARS = 200_000
-MOST_LANGUAGES = 64
+#: Languages whose words are counted in one pass, and up to which a block is carried over as a matrix.
+BLOCK_LANGUAGES = 64
+#: Values (words by languages) that one array of a worker or the fit has, about.
+HELD_VALUES = 1 << 22
 _SLOTS = 1 << 17
 _LEXICON = 1 << 16
 #: The pipeline rejects texts whose largest share of letters is smaller, and texts whose words are as hardly any
@@ -98,26 +104,10 @@ class Words:
         self.grams = (mix64((before << np.uint64(42)) | (unit[at].astype(np.uint64) << np.uint64(21)) | after) & np.uint64(_SLOTS - 1)).astype(np.int32)
         self.gram_start = np.cumsum(self.size) - self.size
 
-    @classmethod
-    def gathered(cls, texts: list[str], size: int = 200_000) -> Words:
-        """The words of many texts, read a few at a time: of each, only the features are held at once."""
-        parts, held, chars, before = [], [], 0, 0
-        for i, text in enumerate(texts):
-            held.append(text)
-            chars += len(text)
-            if chars >= size or i == len(texts) - 1:
-                w = cls(held)
-                w.owner = w.owner + before
-                parts.append(w)
-                before += len(held)
-                held, chars = [], 0
-        out = cls([]) if not parts else parts[0]
-        for name in ("start", "end", "owner", "size", "word", "affixes", "grams"):
-            if parts:
-                setattr(out, name, np.concatenate([getattr(w, name) for w in parts]))
-        out.texts = before
-        out.gram_start = np.cumsum(out.size) - out.size
-        return out
+    def gram_places(self, at: np.ndarray) -> np.ndarray:
+        """Where the trigrams of these words are, word by word."""
+        size = self.size[at]
+        return np.repeat(self.gram_start[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
     def __len__(self) -> int:
         return len(self.start)
@@ -138,16 +128,22 @@ class Field:
         self.names = names
         self.lexicon = lexicon.astype(np.float32)  # log shares, (_LEXICON, n)
         self.rate = None  # of all words of a language, those in each slot of the lexicon
+        self.usual = None  # the mean evidence of a language's own words
         self.weights = np.zeros((_SLOTS, n), np.float32)
         self.trust = np.float32(0.3)
         self.move = (np.eye(n) * 2).astype(np.float32)
 
-    def evidence(self, w: Words) -> np.ndarray:
-        out = self.trust * self.lexicon[w.word]
-        for k in range(w.affixes.shape[1]):
-            out += self.weights[w.affixes[:, k]]
-        if len(w):
-            out += np.add.reduceat(self.weights[w.grams], w.gram_start, axis=0)
+    def evidence(self, w: Words, at: np.ndarray | None = None) -> np.ndarray:
+        """Each word's evidence for each language, of all words or of those ``at`` these numbers."""
+        word, affixes, size, grams = (w.word, w.affixes, w.size, w.grams) if at is None else (w.word[at], w.affixes[at], w.size[at], w.grams[w.gram_places(at)])
+        out = self.trust * self.lexicon[word]
+        for k in range(affixes.shape[1]):
+            out += self.weights[affixes[:, k]]
+        begin = np.cumsum(size) - size
+        lot = max(1, 4 * HELD_VALUES // len(self.names))
+        for lo in range(0, len(grams), lot):  # a word's trigrams may lie in several lots
+            a, b = int(np.searchsorted(begin, lo, side="right")) - 1, int(np.searchsorted(begin, lo + lot))
+            out[a:b] += np.add.reduceat(self.weights[grams[lo : lo + lot]], np.maximum(begin[a:b] - lo, 0), axis=0)
         return out
 
     def marginals(self, evidence: np.ndarray, chain: np.ndarray, place: np.ndarray, count_moves: bool = False, follows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -185,8 +181,8 @@ class Field:
             if t:
                 right = e[t, :m] * back[:m]
                 if count_moves:
-                    both = np.einsum("si,sj->sij", ahead[t - 1, :m], right) * move
-                    moves += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+                    left = ahead[t - 1, :m].astype(float)
+                    moves += move * ((left / ((left @ move) * right).sum(axis=1, keepdims=True)).T @ right)
                 b = right @ move.T + 1e-30
                 back[:m] = b / b.max(axis=1, keepdims=True)
         return post[place, row[chain]], moves
@@ -217,61 +213,115 @@ class Field:
 
     def posterior(self, w: Words) -> np.ndarray:
         """Each word's distribution over languages; a text is one chain."""
+        out = np.zeros((len(w), len(self.names)), np.float32)
+        for at, post in self.posteriors(w):
+            out[at] = post
+        return out
+
+    def posteriors(self, w: Words) -> Iterator[tuple[np.ndarray | slice, np.ndarray]]:
+        """As ``posterior``, of some words after others: which, and their distributions."""
+        if len(self.names) > BLOCK_LANGUAGES:
+            yield from self._by_steps(w)
+            return
         chain, place = w.chains()
         first = np.flatnonzero(place == 0)
         follows = np.zeros(len(first), bool)
         follows[1:] = w.owner[first[1:]] == w.owner[first[:-1]]
-        return self.marginals(self.evidence(w), chain, place, follows=follows)[0]
+        yield slice(None), self.marginals(self.evidence(w), chain, place, follows=follows)[0]
 
-    def fit(self, w: Words, truth: np.ndarray, rounds: int = 3, batch: int = 800, rate: float = 0.3) -> None:
-        """Adaptive gradient steps on the likelihood of the words' languages; every other chain is joined from two."""
-        n = len(self.names)
-        chain, place = w.chains()
-        if not len(chain):
+    def _by_steps(self, w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Forward-backward over the words of whole texts side by side. Of the way forward only what reaches each span of
+        steps is kept; on the way back a span's part of it is worked out again."""
+        if not len(w):
             return
+        n = len(self.names)
+        count = np.bincount(w.owner, minlength=w.texts)
+        row = np.empty(w.texts, np.int64)
+        row[np.argsort(-count, kind="stable")] = np.arange(w.texts)  # longest first, so those that go on are always the first ones
+        place = np.arange(len(w)) - np.repeat(np.cumsum(count) - count, count)
+        words = np.lexsort((row[w.owner], place))
+        going = np.bincount(place)
+        cut = np.append(0, np.cumsum(going))
+        spans = [0]
+        while spans[-1] < len(going):
+            spans.append(max(spans[-1] + 1, int(np.searchsorted(cut, cut[spans[-1]] + HELD_VALUES // n, side="right")) - 1))
+        move = np.exp(self.move - self.move.max()).astype(np.float32)
+
+        def forward(a: int, b: int, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+            e = self.evidence(w, words[cut[a] : cut[b]])
+            e = np.exp(e - e.max(axis=1, keepdims=True))
+            ahead = np.empty_like(e)
+            for t in range(a, b):
+                lo, m = cut[t] - cut[a], going[t]
+                x = (e[lo : lo + m] if before is None else (before[:m] @ move) * e[lo : lo + m]) + 1e-30
+                before = ahead[lo : lo + m] = x / x.sum(axis=1, keepdims=True)
+            return e, ahead
+
+        reach: list[np.ndarray | None] = [None]
+        for a, b in zip(spans[:-2], spans[1:-1]):
+            reach.append(forward(a, b, reach[-1])[1][cut[b - 1] - cut[a] :].copy())
+        back = np.ones((going[0], n), np.float32)
+        for a, b in zip(spans[-2::-1], spans[:0:-1]):
+            e, post = forward(a, b, reach.pop())
+            for t in range(b - 1, a - 1, -1):
+                lo, m = cut[t] - cut[a], going[t]
+                p = post[lo : lo + m] * back[:m]
+                post[lo : lo + m] = p / p.sum(axis=1, keepdims=True)
+                x = (e[lo : lo + m] * back[:m]) @ move.T + 1e-30
+                back[:m] = x / x.max(axis=1, keepdims=True)
+            yield words[cut[a] : cut[b]], post
+
+    def fit(self, stretches: list[str], truth: np.ndarray, rounds: int = 3, batch: int = 800, rate: float = 0.3) -> None:
+        """Adaptive gradient steps on the likelihood of the languages of ``stretches`` of at most BLOCK_WORDS words; every
+        other chain is joined from two. Of the words only those of a batch are held."""
+        n = len(self.names)
         rng = np.random.default_rng(7)
-        begin = np.flatnonzero(place == 0)
-        size = np.diff(np.append(begin, len(w)))
         seen = np.full((_SLOTS, n), 1e-2, np.float32)
         seen_move, seen_trust = np.full((n, n), 1e-2), 1e-2
+        lot = max(1, HELD_VALUES // (BLOCK_WORDS * n))
         for _ in range(rounds):
-            order = rng.permutation(len(begin))
+            order = rng.permutation(len(stretches))
             for at in range(0, len(order), batch):
                 own = order[at : at + batch]
-                index, number, spot = [], [], []
-                for k, i in enumerate(own.tolist()):
-                    x = np.arange(begin[i], begin[i] + size[i])
+                w = Words([stretches[i] for i in own.tolist()])
+                size = np.bincount(w.owner, minlength=len(own))
+                begin = np.cumsum(size) - size
+                chains = []
+                for k in range(len(own)):
+                    x = np.arange(begin[k], begin[k] + size[k])
                     if k % 2:
-                        j = int(own[k - 1])
-                        x = np.concatenate([x[: (len(x) + 1) // 2], np.arange(begin[j], begin[j] + size[j])[: BLOCK_WORDS // 2]])
-                    index.append(x)
-                    number.append(np.full(len(x), k))
-                    spot.append(np.arange(len(x)))
-                index, number, spot = np.concatenate(index), np.concatenate(number), np.concatenate(spot)
-                grams = np.repeat(w.gram_start[index] - (np.cumsum(w.size[index]) - w.size[index]), w.size[index]) + np.arange(int(w.size[index].sum()))
-                gram_slots, affix_slots = w.grams[grams], w.affixes[index]
-                lex = self.lexicon[w.word[index]]
-                evidence = self.trust * lex + self.weights[affix_slots].sum(axis=1)
-                evidence += np.add.reduceat(self.weights[gram_slots], np.cumsum(w.size[index]) - w.size[index], axis=0)
-                post, moves = self.marginals(evidence, number, spot, True)
-                label = truth[index]
-                slope = -post
-                slope[np.arange(len(label)), label] += 1
+                        x = np.concatenate([x[: (len(x) + 1) // 2], np.arange(begin[k - 1], begin[k - 1] + size[k - 1])[: BLOCK_WORDS // 2]])
+                    chains.append(x)
                 scale = 1 / len(own)
-                gram_slope = np.repeat(slope, w.size[index], axis=0)
-                slots = np.concatenate([affix_slots.ravel(), gram_slots])
-                values = np.concatenate([np.repeat(slope, 6, axis=0), gram_slope])
-                grad = np.stack([np.bincount(slots, weights=values[:, j], minlength=_SLOTS) for j in range(n)], axis=1).astype(np.float32) * scale
-                grad -= 1e-5 * self.weights
-                seen += grad * grad
-                self.weights += rate * 0.1 * grad / np.sqrt(seen)
-                true_moves = np.zeros((n, n))
-                inner = np.flatnonzero(spot[1:] > 0) + 1
-                np.add.at(true_moves, (label[inner - 1], label[inner]), 1)
-                g = (true_moves - moves) * scale
+                grad = np.zeros((n, _SLOTS), np.float32)
+                move_slope, trust_slope = np.zeros((n, n)), 0.0
+                for first in range(0, len(own), lot):
+                    some = chains[first : first + lot]
+                    index = np.concatenate(some)
+                    number = np.repeat(np.arange(len(some)), [len(x) for x in some])
+                    spot = np.concatenate([np.arange(len(x)) for x in some])
+                    post, moves = self.marginals(self.evidence(w, index), number, spot, True)
+                    label = truth[own[w.owner[index]]]
+                    slope = -post
+                    slope[np.arange(len(label)), label] += 1
+                    each = np.arange(len(index))
+                    slots = np.concatenate([w.affixes[index].ravel(), w.grams[w.gram_places(index)]])
+                    of = np.concatenate([np.repeat(each, 6), np.repeat(each, w.size[index])])
+                    for j, x in enumerate(np.ascontiguousarray(slope.T)):
+                        grad[j] += np.bincount(slots, weights=x[of], minlength=_SLOTS)
+                    inner = np.flatnonzero(spot[1:] > 0) + 1
+                    np.add.at(move_slope, (label[inner - 1], label[inner]), 1)
+                    move_slope -= moves
+                    trust_slope += float((slope * self.lexicon[w.word[index]]).sum())
+                for a in range(0, _SLOTS, 1 << 13):
+                    part = slice(a, a + (1 << 13))
+                    g = grad[:, part].T * np.float32(scale) - np.float32(1e-5) * self.weights[part]
+                    seen[part] += g * g
+                    self.weights[part] += np.float32(rate * 0.1) * g / np.sqrt(seen[part])
+                g = move_slope * scale
                 seen_move += g * g
                 self.move = (self.move + rate * g / np.sqrt(seen_move)).astype(np.float32)
-                g = float((slope * lex).sum()) * scale
+                g = trust_slope * scale
                 seen_trust += g * g
                 self.trust = np.float32(self.trust + rate * 0.1 * g / np.sqrt(seen_trust))
 
@@ -284,21 +334,27 @@ class Field:
         """As ``predict``, and how well each text's words are known in its language: about 1 for its own, 0 or less for
         words of none that was learned. Evidence of a word is the logarithm of how much more often the language has its
         slot of the lexicon than chance would."""
+        n = len(self.names)
+        lot = max(1, HELD_VALUES // max(16 * n, 1))
+        if n > BLOCK_LANGUAGES and len(texts) > lot:  # a step of all texts is held at once
+            names, share, known = zip(*(self.judge(texts[at : at + lot]) for at in range(0, len(texts), lot)))
+            return [x for part in names for x in part], np.concatenate(share), np.concatenate(known)
         w = Words(texts)
-        if not len(w) or not self.names:
+        if not len(w) or not n:
             return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-        post = self.posterior(w)
-        mass = np.stack([np.bincount(w.owner, weights=post[:, j] * w.size, minlength=len(texts)) for j in range(len(self.names))], axis=1)
+        mass = np.zeros((len(texts), n))
+        for at, post in self.posteriors(w):
+            owner, size = w.owner[at], w.size[at]
+            for j in range(n):
+                mass[:, j] += np.bincount(owner, weights=post[:, j] * size, minlength=len(texts))
         total = mass.sum(axis=1)
         best = mass.argmax(axis=1)
         names = [self.names[i] if t > 0 else "und" for i, t in zip(best.tolist(), total.tolist())]
         known = np.ones(len(texts))
         if self.rate is not None:
-            lift = np.log(self.rate * _LEXICON)
-            usual = np.maximum((self.rate * lift).sum(axis=0), 1e-9)[best]
             count = np.bincount(w.owner, minlength=len(texts))
-            found = np.bincount(w.owner, weights=lift[w.word, best[w.owner]], minlength=len(texts))
-            known = (found / usual + _PRIOR_WORDS) / (count + _PRIOR_WORDS)
+            found = np.bincount(w.owner, weights=np.log(self.rate[w.word, best[w.owner]] * _LEXICON), minlength=len(texts))
+            known = (found / self.usual[best] + _PRIOR_WORDS) / (count + _PRIOR_WORDS)
         return names, np.clip(mass.max(axis=1) / np.maximum(total, 1e-30), 0, 1) * (total > 0), known
 
     def label(self, text: str) -> list[tuple[str, str]]:
@@ -313,37 +369,61 @@ class Field:
 def train(docs: DataFrame, learn: Column, sample_docs: int = SAMPLE_DOCS) -> Field:
     """The field learned from text and lang of the rows of docs for which ``learn`` holds; null lang or text is left out.
 
-    Repeated rows count in the lexicon as often as they are there, and once in the sample that weights are fitted on:
-    the SAMPLE_DOCS texts of a language whose hashes come first, of those of at most SAMPLE_CHARS characters. Rows of
-    languages beyond MOST_LANGUAGES are left out. Without any row, no language is learned. Other columns are not read.
+    Every language is learned, however many there are. Repeated rows count in the lexicon as often as they are there, and
+    once in the sample that weights are fitted on: the SAMPLE_DOCS texts of a language whose hashes come first, of each
+    the first SAMPLE_CHARS characters. Without any row, no language is learned. Other columns are not read.
     """
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("lang", "text").alias("h"))
-    known = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    counts = {r.lang: r.texts for r in known.collect()}
+    counts = {r.lang: r.texts for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts")).collect()}
     names = sorted(counts)
-    rows = rows.where(F.col("lang").isin(names))
     number = {x: i for i, x in enumerate(names)}
     n = len(names)
     if not n:
         return Field([], np.zeros((_LEXICON, 0)))
+    rate = np.empty((_LEXICON, n))
+    for at in range(0, n, BLOCK_LANGUAGES):
+        rate[:, at : at + BLOCK_LANGUAGES] = _word_counts(rows, names[at : at + BLOCK_LANGUAGES])
+    rate /= np.maximum(rate.sum(axis=0), 1)
+    rate += 1e-7
+    field = Field(names, np.log(rate / rate.sum(axis=1, keepdims=True)))
+    rate /= rate.sum(axis=0)
+    field.rate = rate.astype(np.float32)
+    del rate
+    field.usual = np.array([max(float((x * np.log(x * _LEXICON)).sum()), 1e-9) for x in field.rate.T])
+    # hashes below a border that about four times as many texts have; of these, the first ones
+    borders = docs.sparkSession.createDataFrame([(name, draw_border(sample_docs, k)) for name, k in counts.items()], rows.select("lang").schema.add("border", "long"))
+    start = F.substring("text", 1, SAMPLE_CHARS)
+    drawn = rows.join(F.broadcast(borders), "lang").where(F.col("h") <= F.col("border")).groupBy("lang", "h").agg(F.min(start).alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    sample = drawn.withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("lang", "text").orderBy("lang", "rank")
+    stretches, truth = [], []
+    for lang, text in sample.toLocalIterator():
+        parts = _stretches(text)
+        stretches += parts
+        truth += [number[lang]] * len(parts)
+    field.fit(stretches, np.array(truth, np.int64))
+    return field
+
+
+def _word_counts(rows: DataFrame, names: list[str]) -> np.ndarray:
+    """How many words of these languages hash into each slot of the lexicon, by language."""
+    number = {x: i for i, x in enumerate(names)}
+    n = len(names)
 
     def count(part: pa.Table, texts: list[str]) -> np.ndarray:
         w = Words(texts, lexicon_only=True)
         lang = np.array([number[x] for x in part.column("lang").to_pylist()], np.int64)
         return np.bincount(w.word * n + lang[w.owner], minlength=_LEXICON * n).astype(float)
 
-    table = summed(rows.select("lang", "text"), _LEXICON * n, count).reshape(_LEXICON, n)
-    rate = table / np.maximum(table.sum(axis=0), 1) + 1e-7
-    field = Field(names, np.log(rate / rate.sum(axis=1, keepdims=True)))
-    field.rate = (rate / rate.sum(axis=0)).astype(np.float32)
-    # hashes below a border that about four times as many texts have; of these, the first ones
-    border = F.create_map(*[x for name, k in counts.items() for x in (F.lit(name), F.lit(draw_border(sample_docs, k)).cast("long"))])
-    drawn = rows.where((F.col("h") <= border[F.col("lang")]) & (F.length("text") <= SAMPLE_CHARS)).groupBy("lang", "h").agg(F.min("text").alias("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    sample = drawn.withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("lang", "text").orderBy("lang", "rank").collect()
-    w = Words.gathered([r[1] for r in sample])
-    field.fit(w, np.array([number[r[0]] for r in sample], np.int64)[w.owner])
-    return field
+    return summed(rows.where(F.col("lang").isin(names)).select("lang", "text"), _LEXICON * n, count).reshape(_LEXICON, n)
+
+
+def _stretches(text: str) -> list[str]:
+    """A text's parts of BLOCK_WORDS words (the last: what is left), from the first letter of each to its last."""
+    w = Words([text], lexicon_only=True)
+    first = np.arange(0, len(w), BLOCK_WORDS)
+    last = np.minimum(first + BLOCK_WORDS, len(w)) - 1
+    return [text[a:b] for a, b in zip(w.start[first].tolist(), w.end[last].tolist())]
 
 
 def draw_border(wanted: int, texts: int) -> int:

@@ -661,6 +661,53 @@ def test_op8_sample_is_never_empty(spark):
     assert {r.lang_pred for r in language_id.identify(clash, language_id.train(clash, F.lit(True))).collect()} == {"aa"}
 
 
+def test_op8_learns_every_language(spark):
+    """More languages than are counted or carried over at once: the rarest, each of few texts, are learned as well."""
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    rows, held = [], []
+    for k in range(150):
+        endings = ["".join(rng.choice(letters, 4)) for _ in range(6)]
+        texts = [" ".join("".join(rng.choice(endings, 2)) for _ in range(30)) for _ in range(6 if k < 100 else 4)]
+        rows += [(None, x, f"l{k:03}") for x in texts[1:]]
+        held.append((k, texts[0], f"l{k:03}"))
+    field = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert field.names == [r[2] for r in held]
+    found = {r.doc_id: r.lang_pred for r in language_id.identify(spark.createDataFrame(held, "doc_id long, text string, lang string"), field).collect()}
+    assert sum(found[k] == lang for k, _, lang in held) >= 0.97 * len(held)
+    kept = language_id.keep_identified(spark.createDataFrame(held, "doc_id long, text string, lang string"), field)
+    assert kept.count() >= 0.97 * len(held)
+    mixed = field.label(f"{held[140][1]} {held[3][1]}")
+    assert sum(x == "l140" for _, x in mixed[:30]) >= 28 and sum(x == "l003" for _, x in mixed[30:]) >= 28
+
+
+def test_texts_of_many_languages_are_one_chain(monkeypatch):
+    """Step by step, in spans of few words, forward-backward gives what whole chains give, and matrices of blocks."""
+    rng = np.random.default_rng(6)
+    field = language_id.Field([str(i) for i in range(70)], rng.normal(size=(1 << 16, 70)))
+    field.weights = rng.normal(size=field.weights.shape).astype(np.float32) / 2
+    field.move = 2 * rng.normal(size=(70, 70)).astype(np.float32)
+    texts = ["", *(" ".join("".join(rng.choice(list("abcde"), 3)) for _ in range(n)) for n in (300, 1, 64, 65, 128)), "", "a" * 500]
+    w = language_id.Words(texts)
+    whole, shares = field.posterior(w), field.predict(texts)
+    monkeypatch.setattr(language_id, "BLOCK_LANGUAGES", 70)
+    assert np.allclose(field.posterior(w), whole, atol=1e-4)
+    monkeypatch.setattr(language_id, "BLOCK_LANGUAGES", 64)
+    for held in (70, 70 * 40, 70 * 1000):
+        monkeypatch.setattr(language_id, "HELD_VALUES", held)
+        assert np.allclose(field.posterior(w), whole, atol=1e-4)
+        names, share = field.predict(texts)
+        assert names == shares[0] and np.allclose(share, shares[1], atol=1e-4)
+
+
+def test_op8_fits_on_the_start_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_CHARS", 400)
+    rows = [(i, x[1] * 40, x[2]) for i, x in enumerate(corpus(40, 2))]  # all are longer
+    field = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert np.abs(field.weights).max() > 0.01
+    assert language_id._stretches("ab, cd! " * 70 + "e") == [("ab, cd! " * 32)[:-2], ("ab, cd! " * 32)[:-2], ("ab, cd! " * 6) + "e"]
+
+
 def test_op1_on_held_out_rows(spark, docs):
     rows = corpus(600, 1)
     df = spark.createDataFrame([r[:2] for r in rows] + [(9000, None), (9001, "")], "doc_id long, text string")
