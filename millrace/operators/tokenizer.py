@@ -15,6 +15,8 @@ SPECIALS = ("<|pad|>", "<|im_start|>", "<|im_end|>")
 PATTERN = r"<\|[^|<>]*\|>|\n|[A-Za-z]+(?:'[A-Za-z]+)?|\d+|[^\sA-Za-z\d]"
 NO_SPACE_BEFORE, NO_SPACE_AFTER = ")]}(,.:;!?_\n", "([{_\n"
 IGNORED = -100
+# Ranges of batches: how many there are at most, and of how many keys their bounds are drawn.
+MOST_RANGES, SAMPLED_KEYS = 512, 10_000
 
 
 def tokens(text: Column) -> Column:
@@ -94,13 +96,23 @@ def padded(ids: Column, mask: Column, width: Column) -> tuple[Column, Column]:
 
 def batches(encoded: DataFrame, order: str, size: int) -> DataFrame:
     """Rows with batch and width, the longest of the batch. Batches follow each other by a rank within ranges of the
-    order column, so no task sees all rows: only the count of each range goes to the driver."""
-    part = encoded.repartitionByRange(order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id())
-    kept = part.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(order)))
-    counts, base, before = sorted((r[0], r[1]) for r in kept.groupBy("part").count().collect()), [], 0
+    order column, so no task sees all rows: only a sample of the column and the count of each range go to the driver.
+
+    The ranges are cut at the keys of smallest hash and are then fixed values, so whoever computes a row's range, in
+    whichever job, gets the same one. Shuffles by range draw their bounds anew each time.
+    """
+    kind, spark = encoded.schema[order].dataType, encoded.sparkSession
+    ranges = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES)
+    drawn = encoded.select(order).where(F.col(order).isNotNull()).distinct().orderBy(F.xxhash64(order), order).limit(SAMPLED_KEYS)
+    keys = [r[0] for r in drawn.orderBy(order).collect()]
+    bounds = [F.lit(keys[i * len(keys) // ranges]).cast(kind) for i in range(1, ranges)] if keys else []
+    place = F.size(F.filter(F.array(*bounds), lambda b: F.coalesce(b <= F.col(order), F.lit(False)))) if bounds else F.lit(0)
+    placed = encoded.withColumn("part", place)
+    counts, base, before = sorted((r[0], r[1]) for r in placed.groupBy("part").count().collect()), [], 0
     for p, n in counts:
         base.append((p, before))
         before += n
-    bases = encoded.sparkSession.createDataFrame(base, "part int, base long")
+    bases = spark.createDataFrame(base, "part int, base long")
+    kept = placed.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(order)))
     numbered = kept.join(F.broadcast(bases), "part").withColumn("batch", F.floor((F.col("base") + F.col("n") - 1) / size)).drop("part", "base", "n")
     return numbered.withColumn("width", F.max(F.size("ids")).over(Window.partitionBy("batch")))

@@ -310,3 +310,21 @@ def test_stream_takes_each_record_once(spark, tmp_path):
 
     assert step("1.jsonl", ['{"id":"a","v":1}', '{"id":"a","v":1}', '{"id":"b"']) == 1
     assert step("2.jsonl", ['{"id":"a","v":1}', '{"id":"c","v":1}']) == 2
+
+
+def test_batches_of_many_rows_keep_every_row(spark):
+    rows = spark.range(40_000).repartition(7).select((F.col("id") * 3).alias("id"), F.array_repeat(F.lit(1), (F.col("id") % 50).cast("int")).alias("ids"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with tables that fill their partitions
+    try:
+        made = tokenizer.batches(rows, "id", 16).select("id", "batch", "width").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(made) == 40_000
+    assert all(r.batch == r.id // 48 for r in made)
+    widths = {}
+    for r in made:
+        widths[r.batch] = max(widths.get(r.batch, 0), r.id // 3 % 50)
+    assert all(r.width == widths[r.batch] for r in made)
+    few = spark.createDataFrame([("b", [1]), (None, [1, 2]), ("a", []), ("b", [1])], "k string, ids array<int>")
+    assert sorted((r.k or "", r.batch) for r in tokenizer.batches(few, "k", 2).collect()) == [("", 0), ("a", 0), ("b", 1), ("b", 1)]
+    assert tokenizer.batches(few.limit(0), "k", 2).count() == 0
