@@ -328,3 +328,14 @@ def test_batches_of_many_rows_keep_every_row(spark):
     few = spark.createDataFrame([("b", [1]), (None, [1, 2]), ("a", []), ("b", [1])], "k string, ids array<int>")
     assert sorted((r.k or "", r.batch) for r in tokenizer.batches(few, "k", 2).collect()) == [("", 0), ("a", 0), ("b", 1), ("b", 1)]
     assert tokenizer.batches(few.limit(0), "k", 2).count() == 0
+
+
+def test_articles_keep_facts_as_they_are(spark, tmp_path):
+    long = ["x" * k + "\U0001f600" * 3000 + ' "é\\\n' for k in range(3)]
+    looks = '{"fact": "inner"}'
+    listed = [{"title": "A", "url": "u", "facts": [{"fact": x} for x in long] + [{"fact": looks}, looks, None, "", {"fact": ""}, {"fact": 5}]}, {"title": "B", "url": "u", "facts": None}]
+    records.write_json(str(tmp_path / "a.json"), {"articles": listed})
+    records.write_json(str(tmp_path / "b.json"), {"title": "C", "url": "u", "facts": ["only", "two"]})
+    records.write_json(str(tmp_path / "c.json"), listed)
+    made = sorted((r.title, r.facts) for r in records.read_articles(spark, str(tmp_path)).collect())
+    assert made == [("A", [*long, looks, looks, "5"])] * 2 + [("C", ["only", "two"])]

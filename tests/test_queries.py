@@ -37,3 +37,13 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", ["url_tasks", "corruption_top"])
 def test_other_queries_have_rows(spark, name):
     assert __spark_entry__.queries()[name](spark, DATA).count() > 0
+
+
+def test_articles_of_empty_texts_equal_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(1, "en", "one, two and three"), (2, "en", ""), (3, "de", " \n "), (4, "de", None), (1000, "en", "¡a! \U0001f600; b")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    ours = [tuple(r) for r in __spark_entry__.queries()["articles"](spark, str(tmp_path)).collect()]
+    assert len(ours) == 5 and sorted(ours, key=repr) == sorted(c.execute(SQL["articles"]).fetchall(), key=repr)
