@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import schemas
-from millrace.functions import urls
+from millrace.functions import hashing, urls
 from millrace.operators import dataset, farm, gate, ledger, metrics, render, report, taskpool, tokenizer, training, windowing
 from millrace.sources import records
 from millrace.streaming.ingest import ingest, record_stream
@@ -339,3 +340,19 @@ def test_articles_keep_facts_as_they_are(spark, tmp_path):
     records.write_json(str(tmp_path / "c.json"), listed)
     made = sorted((r.title, r.facts) for r in records.read_articles(spark, str(tmp_path)).collect())
     assert made == [("A", [*long, looks, looks, "5"])] * 2 + [("C", ["only", "two"])]
+
+
+@pytest.mark.parametrize("variant,digest", [("pick", "3b088974493aa5a7"), ("pick_hard", "3e36dd3f64859389"), ("compose", "a8086303e5a00cdb")])
+def test_url_tasks_draw_damages_in_place(spark, variant, digest):
+    """A damage that does not show is drawn again within the row, so tries are neither rows of their own nor shuffled."""
+    tasks = taskpool.url_tasks(spark, 120, "fixed", variant)
+    plan = tasks._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    rows = sorted((r.source_id, r.task_id, r.broken, r.gold_url, tuple(r.corruptions), tuple(e.text for e in r.evidence)) for r in tasks.collect())
+    assert hashlib.sha256(repr(rows).encode()).hexdigest()[:16] == digest
+
+
+def test_seeds_are_halves_of_unsigned_numbers(spark):
+    seeds = spark.range(300).select("id", hashing.stable_seed("x", F.col("id").cast("string")).alias("seed"))
+    assert "decimal" not in seeds._jdf.queryExecution().analyzed().toString()
+    assert all(r.seed == int(hashlib.sha256(f'["x",{r.id}]'.encode()).hexdigest()[:16], 16) >> 1 for r in seeds.collect())
