@@ -356,3 +356,13 @@ def test_seeds_are_halves_of_unsigned_numbers(spark):
     seeds = spark.range(300).select("id", hashing.stable_seed("x", F.col("id").cast("string")).alias("seed"))
     assert "decimal" not in seeds._jdf.queryExecution().analyzed().toString()
     assert all(r.seed == int(hashlib.sha256(f'["x",{r.id}]'.encode()).hexdigest()[:16], 16) >> 1 for r in seeds.collect())
+
+
+def test_nli_manifest_reads_its_rows_once(spark):
+    """The pool is stored: the steps after it hold no scan of the rows it was taken from."""
+    said = F.concat(F.lit("the cat "), F.col("id").cast("string"), F.lit(" sat, the dog ran, the bird flew"))
+    label = F.when(F.col("id") % 2 == 0, "entailment").otherwise("neutral")
+    rows = spark.range(60).select(F.col("id").alias("source_id"), said.alias("premise"), F.lit("the dog ran").alias("hypothesis"), label.alias("label"))
+    made = taskpool.nli_manifest(rows, "nli", 20)
+    assert "Range (" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {r.origin for r in made.collect()} == {"base", "synth"}
