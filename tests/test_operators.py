@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace import schemas
 from millrace.functions import hashing, urls
 from millrace.operators import dataset, farm, gate, ledger, metrics, render, report, taskpool, tokenizer, training, windowing
+from millrace.plans import adapters
 from millrace.sources import records
 from millrace.streaming.ingest import ingest, record_stream
 
@@ -366,3 +367,15 @@ def test_nli_manifest_reads_its_rows_once(spark):
     made = taskpool.nli_manifest(rows, "nli", 20)
     assert "Range (" not in made._jdf.queryExecution().executedPlan().toString()
     assert {r.origin for r in made.collect()} == {"base", "synth"}
+
+
+def test_units_are_cut_once_a_text(spark, tmp_path):
+    """However many uses and filters a plan has, a text is cut into units in one place of it."""
+    spark.createDataFrame([(1, "en", "one, two; three"), (2, "en", None), (3, "de", "one")], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    units = adapters.document_units(spark, str(tmp_path))
+    used = units.where(F.size("units") >= 2).where(F.get("units", 0) != "").select("doc_id", F.element_at("units", -1).alias("last"), F.array_join("units", "|").alias("all"))
+    plan = used._jdf.queryExecution().optimizedPlan().toString()
+    one = units.select("units")._jdf.queryExecution().optimizedPlan().toString().count("although")
+    assert one > 0 and plan.count("although") == one
+    assert [tuple(r) for r in used.collect()] == [(1, "three", "one,|two;|three")]
+    assert [r.units for r in units.orderBy("doc_id").collect()] == [["one,", "two;", "three"], None, ["one"]]
