@@ -47,3 +47,15 @@ def test_articles_of_empty_texts_equal_sql(spark, tmp_path):
     c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     ours = [tuple(r) for r in __spark_entry__.queries()["articles"](spark, str(tmp_path)).collect()]
     assert len(ours) == 5 and sorted(ours, key=repr) == sorted(c.execute(SQL["articles"]).fetchall(), key=repr)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["training_samples"])
+def test_gate_queries_cut_texts_once(spark, name, monkeypatch):
+    """What they write first, the tasks, comes from a plan that cuts a text into units in one place."""
+    from millrace.plans import queries as plans
+
+    plan, keep = [], plans.stored
+    monkeypatch.setattr(plans, "stored", lambda df, label: (plan.append(df._jdf.queryExecution().optimizedPlan().toString()), keep(df, label))[1])
+    __spark_entry__.queries()[name](spark, DATA).collect()
+    assert len(plan) == 2 and plan[0].count("although") == 1
