@@ -50,7 +50,7 @@ def test_articles_of_empty_texts_equal_sql(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["training_samples"])
+@pytest.mark.parametrize("name", ["training_samples", "samples_written"])
 def test_gate_queries_cut_texts_once(spark, name, monkeypatch):
     """What they write first, the tasks, comes from a plan that cuts a text into units in one place."""
     from millrace.plans import queries as plans
